@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailloom.llm import fingerprint, langid, simhash, toxicity
+from mailloom.llm import bpe, fingerprint, langid, secretscan, simhash, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,8 +31,20 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_fingerprints, op3_toxicity, op4_language, op5_near_duplicates]
+    found = [op1_fingerprints, op3_toxicity, op4_language, op5_near_duplicates, op6_token_files, op7_byte_bpe, op8_secrets]
     return {f.__name__: f for f in found}
 
 

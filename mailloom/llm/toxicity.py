@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ from mailloom.llm import kernels as K
 #: Production parameters: lengths of n-grams in characters; the features are hashed into 2**HASH_BITS.
 ORDERS, HASH_BITS = (3, 4, 5), 20
 #: The classifier is fitted on this many labelled documents of each class at most.
-MAX_TRAIN_ROWS = 2000
+MAX_TRAIN_ROWS = 1000
 #: Probability from which on a document counts as toxic.
 THRESHOLD = 0.5
 
@@ -68,7 +69,7 @@ def scores(data: np.ndarray, off: np.ndarray, model: Model, distinct: Distinct)
     return total
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 80, alpha: float = 1.0, ridge: float = 1e-3, least: int = 2) -> Model:
+def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 80, alpha: float = 1.0, ridge: float = 1e-3, least: int = 3) -> Model:
     """Logistic regression on presences of n-grams times their log-count ratios; the classes weigh alike.
 
     An n-gram that fewer than `least` documents have is left out.  Without documents of both classes, a model that calls nothing toxic.
@@ -76,41 +77,51 @@ def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 80, alpha: float = 1.0
     y = toxic.astype(np.float64)
     if not 0 < y.sum() < len(y):
         return Model(None)
-    distinct, rows, cols = Distinct(), [], []
-    data, off = K.utf8(texts)
-    for lo, hi in K.chunks(off):
-        for ids, at in gram_ids(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]):
-            for r in range(hi - lo):
-                found = distinct(ids[at[0, r] : at[1, r]])
-                rows.append(np.full(len(found), lo + r, np.int32))
-                cols.append(found)
-    row, col = np.concatenate(rows), np.concatenate(cols)
     size = 1 << HASH_BITS
-    keep = np.bincount(col, minlength=size) >= least
-    use = keep[col]
-    row, col = row[use], col[use]
-    names, col = np.unique(col, return_inverse=True)
-    pos = np.bincount(col, y[row], len(names)) + alpha
-    neg = np.bincount(col, 1 - y[row], len(names)) + alpha
+    seen = np.zeros((2, size), np.int32)
+    for r, ids in _rows(texts):
+        seen[int(y[r])][ids] += 1
+    names = np.flatnonzero(seen.sum(0) >= least)
+    at = np.full(size, -1, np.int32)
+    at[names] = np.arange(len(names))
+    cols = [found[found >= 0] for _, ids in _rows(texts) for found in (at[ids],)]
+    col, ends = np.concatenate(cols), np.cumsum([len(c) for c in cols])
+    del cols
+    pos, neg = seen[1][names] + alpha, seen[0][names] + alpha
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    order = np.argsort(row, kind="stable")
-    row, col = row[order], col[order]
-    x = ratio[col]
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     u, bias = np.zeros(len(names)), 0.0
-    m, v, t = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0
+    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    blocks = [(lo, min(lo + 100, len(y))) for lo in range(0, len(y), 100)]
+    starts = ends - np.diff(ends, prepend=0)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, x * u[col], len(y)) + bias
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        grad = np.r_[np.bincount(col, g[row] * x, len(names)) + ridge * u, g.sum()]
+        w, grad, gained = u * ratio, np.zeros(len(names)), 0.0
+        for lo, hi in blocks:
+            own, count = col[starts[lo] : ends[hi - 1]], ends[lo:hi] - starts[lo:hi]
+            row = np.repeat(np.arange(hi - lo), count)
+            z = np.bincount(row, w[own], hi - lo) + bias
+            g = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[lo:hi])
+            grad += np.bincount(own, g[row], len(names))
+            gained += g.sum()
+        grad = np.r_[grad * ratio + ridge * u, gained]
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
         u -= step[:-1]
         bias -= step[-1]
-    w = np.zeros(size, np.float32)
-    w[names] = u * ratio
-    return Model(w, float(bias))
+    out = np.zeros(size, np.float32)
+    out[names] = u * ratio
+    return Model(out, float(bias))
+
+
+def _rows(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row's number and distinct n-grams; orders hash apart, so an id that two of them share counts once."""
+    distinct = Distinct()
+    data, off = K.utf8(texts)
+    for lo, hi in K.chunks(off):
+        parts = gram_ids(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        for r in range(hi - lo):
+            yield lo + r, distinct(np.concatenate([ids[at[0, r] : at[1, r]] for ids, at in parts]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Model:
