@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailloom.llm import bpe, fingerprint, langid, secretscan, simhash, tokenfile, toxicity
+from mailloom.llm import bpe, fingerprint, langid, multiindex, packing, secretscan, simhash, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,8 +47,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_fingerprints, op3_toxicity, op4_language, op5_near_duplicates, op6_token_files, op7_byte_bpe, op8_secrets]
+    found = [op1_fingerprints, op2_neighbours, op3_toxicity, op4_language, op5_near_duplicates, op6_token_files, op7_byte_bpe, op8_secrets, op9_packing]
     return {f.__name__: f for f in found}
 
 
