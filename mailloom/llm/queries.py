@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailloom.llm import bpe, fingerprint, langid, multiindex, packing, secretscan, simhash, tokenfile, toxicity
+from mailloom.llm import bpe, fingerprint, langid, lm, multiindex, packing, secretscan, simhash, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,8 +51,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_fingerprints, op2_neighbours, op3_toxicity, op4_language, op5_near_duplicates, op6_token_files, op7_byte_bpe, op8_secrets, op9_packing]
+    found = [op1_fingerprints, op2_neighbours, op3_toxicity, op4_language, op5_near_duplicates, op6_token_files, op7_byte_bpe, op8_secrets, op9_packing, op10_lm_scores]
     return {f.__name__: f for f in found}
 
 

@@ -34,13 +34,18 @@ def ranks(vocabulary: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
-    """Text to ids; special tokens' strings are ordinary text.  Loaded once a worker."""
+def encoding(vocabulary: str = VOCABULARY):  # noqa: ANN201
+    """The tokenizer of a file of ranks, loaded once a worker."""
     if vocabulary not in _encoders:
         import tiktoken
 
         _encoders[vocabulary] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(vocabulary), special_tokens={})
-    return _encoders[vocabulary].encode_ordinary
+    return _encoders[vocabulary]
+
+
+def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
+    """Text to ids; special tokens' strings are ordinary text."""
+    return encoding(vocabulary).encode_ordinary
 
 
 def seek_table(frames: list[tuple[int, int, int]]) -> bytes:
