@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +12,10 @@ from mailloom.llm.tokenfile import PATTERN, VOCABULARY, ranks
 
 #: The words, most frequent first, whose ids are worked out once and put into the plan; all others are folded where they stand.
 #: The ids are the same for any number of them.
-HEAD_WORDS = 1_000_000
+HEAD_WORDS = 1 << 18
 
 _NONE = 1 << 30
-_SLOTS = 1 << 21
+_SLOTS = 1 << 19
 _SHIFTS = (0, 32)
 
 
@@ -91,10 +92,10 @@ def _let(value: Column, use) -> Column:  # noqa: ANN001
 class Codec:
     """Encodes and decodes columns of a session by a vocabulary of at most 65,536 ranks.
 
-    head gives the ids of some words, which are then looked up (by 64-bit hashes); the rest of the words are folded.
+    head gives the key (Spark's 64-bit hash) and ids of some words, which are then looked up by it; the rest of the words are folded.
     """
 
-    def __init__(self, spark: SparkSession, vocabulary: str = VOCABULARY, head: dict[str, list[int]] | None = None) -> None:
+    def __init__(self, spark: SparkSession, vocabulary: str = VOCABULARY, head: pa.Table | None = None) -> None:
         self.spark, pieces = spark, ranks(vocabulary)
         if max(pieces.values()) >= 65536:
             raise ValueError("ids of 65,536 and more aren't supported")
@@ -105,16 +106,16 @@ class Codec:
             by_id[i] = piece.decode("latin-1")
         self.pieces = _strings(spark, by_id)
         self.head = None
-        if head:
-            keys = np.array([xxhash.xxh64_intdigest(w, seed=42) for w in head], np.uint64).view(np.int64)
-            size = np.array([len(i) for i in head.values()], np.int64)
+        if head is not None and len(head):
+            ids = head["ids"].combine_chunks()
+            keys, size = head["key"].to_numpy(), pa.compute.list_value_length(ids).to_numpy().astype(np.int64)
             start = np.cumsum(size) - size
             at = place(keys)
             some = at >= 0
             table, span = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
             table[some] = keys[at[some]]
             span[some] = start[at[some]] << 20 | size[at[some]]
-            flat = np.fromiter((i for ids in head.values() for i in ids), np.int32, int(size.sum()))
+            flat = ids.flatten().to_numpy().astype(np.int32)
             self.head = tuple(_literal(spark, x) for x in (table, span, flat))
 
     def words(self, text: Column) -> Column:
@@ -167,12 +168,12 @@ class Codec:
         return self.decode_binary(ids).cast("string")
 
 
-def frequent_words(docs: DataFrame, codec: Codec, text_col: str = "text", most: int = HEAD_WORDS) -> dict[str, list[int]]:
-    """Ids of the `most` words that occur most often (twice at least) in all documents, ties in order of the words."""
+def frequent_words(docs: DataFrame, codec: Codec, text_col: str = "text", most: int = HEAD_WORDS) -> pa.Table:
+    """key and ids of the `most` words that occur most often (twice at least) in all documents, ties in order of the words."""
     words = docs.select(F.explode(codec.words(F.col(text_col))).alias("w")).groupBy("w").count()
     top = words.where("count > 1").orderBy(F.desc("count"), "w").limit(most).select("w")
-    rows = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("w", codec.fold(F.col("w")).alias("ids")).toArrow()
-    return dict(zip(rows["w"].to_pylist(), rows["ids"].to_pylist()))
+    rows = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).select(F.xxhash64("w").alias("key"), codec.fold(F.col("w")).alias("ids"))
+    return rows.dropDuplicates(["key"]).toArrow()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
