@@ -1,11 +1,15 @@
-"""What a session needs before it runs this package's Python functions."""
+"""What a session needs before it runs this package's Python functions, and the folder that executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark import SparkFiles
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -21,3 +25,21 @@ def prepare(spark: SparkSession) -> SparkSession:
         SparkFiles.getRootDirectory()
         _shipped.add(sc.applicationId)
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; where that is unset, as in tests, in one of this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        path = tempfile.mkdtemp(prefix="mailloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        found = f"file://{path}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from a Parquet table in the shared folder; its plan begins there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
