@@ -213,4 +213,4 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -
     if size_col in docs.columns:
         changed = F.col("_redacted") != F.col(text_col)
         after = after.withColumn(size_col, F.when(changed, F.length("_redacted").cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
-    return after.withColumn(text_col, F.col("_redacted")).select(docs.columns)
+    return after.withColumn(text_col, F.col("_redacted")).select([f"`{c}`" for c in docs.columns])

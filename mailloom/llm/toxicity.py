@@ -17,7 +17,7 @@ ORDERS, HASH_BITS = (3, 4, 5), 20
 #: The classifier is fitted on this many labelled documents of each class at most.
 MAX_TRAIN_ROWS = 1000
 #: Probability from which on a document counts as toxic.
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 
 
 @dataclass(frozen=True)
@@ -69,10 +69,10 @@ def scores(data: np.ndarray, off: np.ndarray, model: Model, distinct: Distinct)
     return total
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 80, alpha: float = 1.0, ridge: float = 1e-3, least: int = 3) -> Model:
+def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 80, alpha: float = 1.0, ridge: float = 1e-3, least: int = 3, doubt: float = 2.0) -> Model:
     """Logistic regression on presences of n-grams times their log-count ratios; the classes weigh alike.
 
-    An n-gram that fewer than `least` documents have is left out.  Without documents of both classes, a model that calls nothing toxic.
+    A ratio is moved towards 0 by `doubt` times its standard error.  An n-gram that fewer than `least` documents have is left out.  Without documents of both classes, a model that calls nothing toxic.
     """
     y = toxic.astype(np.float64)
     if not 0 < y.sum() < len(y):
@@ -89,6 +89,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 80, alpha: float = 1.0
     del cols
     pos, neg = seen[1][names] + alpha, seen[0][names] + alpha
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
+    # What chance may make of a ratio is taken off it.
+    ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - doubt * np.sqrt(1 / pos + 1 / neg))
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     u, bias = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
