@@ -17,10 +17,10 @@ from mailloom.llm import store
 
 #: Production parameters: neighbours of each vector; vectors in a cell (a pair of centroids) on average; centroids of a half at most
 #: (which bounds what the driver and the tasks hold of the index); passes of k-means over all vectors.
-NEIGHBOURS, CELL, MOST_CENTROIDS, ROUNDS = 10, 16, 1024, 5
+NEIGHBOURS, CELL, MOST_CENTROIDS, ROUNDS = 10, 32, 1024, 5
 #: The first traversal ends at this many candidates.  The second goes on till a cell's vectors, whose distances are spread about the
 #: cell's own by chance, would have to lie MARGIN deviations below their mean to be nearer than the worst neighbour of the first.
-START, MARGIN = 512, 2.8
+START, MARGIN = 512, 3.0
 #: Cells are searched in groups of about this many vectors; few groups are split by queries into TASKS parts.
 GROUP, TASKS = 1 << 15, 32
 
@@ -68,6 +68,14 @@ def traverse(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[float, int
             heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
 
 
+def along(centroids: np.ndarray) -> np.ndarray:
+    """Centroids in order along the line on which they differ most, so that groups of neighbouring numbers lie close."""
+    if len(centroids) < 2 or not centroids.shape[1]:
+        return centroids
+    c = centroids - centroids.mean(0)
+    return centroids[np.argsort(c @ np.linalg.svd(c, full_matrices=False)[2][0], kind="stable")]
+
+
 def _moved(points: DataFrame, one: np.ndarray, two: np.ndarray, dims: int, scale: float) -> list[np.ndarray]:
     """The centroids' next places: means over all vectors, summed as integers so that no order of the sums alters them."""
     half = dims // 2
@@ -121,6 +129,7 @@ def build(points: DataFrame, dims: int, cell: int = CELL, most: int = MOST_CENTR
     one, two = start
     for _ in range(rounds):
         one, two = _moved(points, one, two, dims, min(scale, 2.0**40))
+    one, two = along(one), along(two)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,37 +217,50 @@ class Bucket:
     def nearest(self, v: np.ndarray, lim: np.ndarray, worst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest entries (numbers, -1 for none) of each query's cells, and their squared distances; only those under worst."""
         half, width = self.index.dims // 2, len(self.index.two)
-        a, b = away(v[:, :half], self.index.one), away(v[:, half:], self.index.two)
         best = np.full((len(v), k), np.inf, np.float32)
         who = np.full((len(v), k), -1, np.int64)
         top = (worst * (1 + 1e-5) + 1e-6).astype(np.float32)
         square = (v * v).sum(1)
         lim = lim * (1 + 1e-9)
-        for c, lo, hi in zip(self.cells.tolist(), self.at.tolist(), self.end.tolist()):
-            rows = np.flatnonzero(a[:, c // width] + b[:, c % width] <= lim)
-            if not len(rows):
-                continue
-            d = square[rows, None] - 2 * (v[rows] @ self.vec[lo:hi].T) + self.square[lo:hi]
-            some = d.min(1) <= top[rows]
-            if not some.any():
+        rows_of = self.cells // width
+        some_one, first = np.unique(rows_of, return_index=True)
+        some_two, second = np.unique(self.cells % width, return_inverse=True)
+        a = np.ascontiguousarray(away(v[:, :half], self.index.one[some_one]).T)
+        b = np.ascontiguousarray(away(v[:, half:], self.index.two[some_two]).T)
+        least = b.min(0)
+        for x, (c_lo, c_hi) in enumerate(zip(first, np.r_[first[1:], len(self.cells)])):
+            left = lim - a[x]
+            near = np.flatnonzero(least <= left)
+            if not len(near):
                 continue
-            rows, d = rows[some], d[some]
-            both = np.concatenate([best[rows], d], 1)
-            names = np.concatenate([who[rows], np.broadcast_to(np.arange(lo, hi), d.shape)], 1)
-            pick = np.argpartition(both, k - 1, axis=1)[:, :k]
-            best[rows] = np.take_along_axis(both, pick, 1)
-            who[rows] = np.take_along_axis(names, pick, 1)
-            top[rows] = np.minimum(top[rows], best[rows].max(1))
+            left = left[near]
+            for c in range(c_lo, c_hi):
+                rows = near[b[second[c]][near] <= left]
+                if not len(rows):
+                    continue
+                lo, hi = self.at[c], self.end[c]
+                d = square[rows, None] - 2 * (v[rows] @ self.vec[lo:hi].T) + self.square[lo:hi]
+                some = d.min(1) <= top[rows]
+                if not some.any():
+                    continue
+                rows, d = rows[some], d[some]
+                both = np.concatenate([best[rows], d], 1)
+                names = np.concatenate([who[rows], np.broadcast_to(np.arange(lo, hi), d.shape)], 1)
+                pick = np.argpartition(both, k - 1, axis=1)[:, :k]
+                best[rows] = np.take_along_axis(both, pick, 1)
+                who[rows] = np.take_along_axis(names, pick, 1)
+                top[rows] = np.minimum(top[rows], best[rows].max(1))
         gap = v[:, None, :].astype(np.float64) - self.vec[who]
         exact = np.where(np.isfinite(best), np.einsum("qkd,qkd->qk", gap, gap), np.inf)
         return np.where(np.isfinite(best), who, -1), exact
 
 
-def _compare(shared, k: int, rows_at_once: int = 4096):  # noqa: ANN001, ANN202
+def _compare(shared, k: int):  # noqa: ANN001, ANN202
     """For streams of a group's entries and then its queries: key, lim, and the nearest entries (d, key) of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
+        rows_at_once = max(1024, (1 << 21) // len(index.one))
         place, held, bucket = None, [], None
         waiting: list[pa.RecordBatch] = []
 
