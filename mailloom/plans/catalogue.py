@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailloom.functions import text as T
-from mailloom.operators import dedup, metrics, model, search
+from mailloom.operators import dedup, lookup, metrics, model, search, training
 from mailloom.plans import parsing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -362,6 +362,30 @@ def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appended(rows.where("doc_id < 100"), rows, "doc_id")
 
 
+@query("""WITH r AS (SELECT c_custkey * 5000 AS low, c_custkey * 5000 + 3999 AS high, c_mktsegment AS place FROM customer),
+d AS (SELECT doc_id, (doc_id * 7919) % 900000 AS n FROM documents) SELECT doc_id, n, place FROM d LEFT JOIN r ON n BETWEEN low AND high""")
+def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey") * 5000
+    ranges = table(spark, sf_dir, "customer").select(key.alias("low"), (key + 3999).alias("high"), F.col("c_mktsegment").alias("place"))
+    n = (F.col("doc_id") * 7919) % 900000
+    ip = F.concat_ws(".", *((F.floor(n / 256**k) % 256).cast("string") for k in (3, 2, 1, 0)))
+    rows = docs(spark, sf_dir).select("doc_id", lookup.ip_number(ip).alias("n"))
+    return lookup.in_ranges(rows, "n", ranges).select("doc_id", "n", "place")
+
+
+@query()
+def text_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.regexp_replace("text", "the", "THE")
+    return docs(spark, sf_dir).select("doc_id", lookup.differences(F.col("text"), changed).alias("d")).select("doc_id", F.size("d").cast("bigint").alias("runs"))
+
+
+@query()
+def trained_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir).select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_id")), "doc_id")
+    fitted = training.train(rows.where("doc_id % 10 <> 0"))
+    return metrics.spam_metrics(training.spam_scores(fitted, rows.where("doc_id % 10 = 0")))
+
+
 _FOUND |= parsing.QUERIES
 
 

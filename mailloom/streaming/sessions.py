@@ -38,6 +38,18 @@ def fold(frames: list[tuple[str, str]], eml: str = "") -> tuple[list[str], str]:
     return done, eml
 
 
+def reply(command: str, verdict: str | None = None, header: str = "X-Spam-Verdict") -> list[bytes]:
+    """The frames (length, command, payload) that answer a command: to the negotiation the version and what is wanted, to the end of a
+    body the verdict as a header and acceptance, to an abort or a quit nothing, else to go on."""
+    frame = lambda c, p=b"": (len(p) + 1).to_bytes(4, "big") + c + p
+    if command == "O":
+        return [frame(b"O", b"".join(x.to_bytes(4, "big") for x in (2, 1, 0x0F)))]
+    if command == BODY_END:
+        name = header.encode() + b"\0" + (verdict or "").encode() + b"\0"
+        return [frame(b"h", name), frame(b"a")] if verdict is not None else [frame(b"a")]
+    return [] if command in (ABORT, QUIT, "D") else [frame(b"c")]
+
+
 def assemble(frames: DataFrame, idle: str | None = None) -> DataFrame:
     """conn_id and mail of each message that a stream of frames (conn_id, seq, cmd, payload) completes.
 

@@ -103,3 +103,46 @@ def test_mailbox(spark, tmp_path):
     assert {r.word: list(r.vec) for r in mailbox.word_vectors(spark, str(tmp_path / "vec")).collect()} == {"a": [1, 2, 3], "b": [4, 5, 6]}
     (tmp_path / "lab").write_text("sub|body|x\nshort|a\n")
     assert [tuple(r) for r in mailbox.labelled_lines(spark, str(tmp_path / "lab"), 0, "train").collect()] == [("sub", "body|x", 0, "train")]
+
+
+def test_streamed_sessions():
+    from mailloom.streaming import sessions
+
+    frames = [("L", "Subject\0hi\0"), ("N", ""), ("B", "one "), ("B", "two"), ("E", ""), ("L", "X\0y"), ("A", ""), ("B", "rest")]
+    assert sessions.fold(frames) == (["Subject: hi\n\none two"], "rest")
+    assert sessions.reply("B") == [b"\0\0\0\1c"] and sessions.reply("E", "ham 1%")[1] == b"\0\0\0\1a" and sessions.reply("Q") == []
+
+
+def test_choice_of_epochs(spark):
+    from mailloom.operators import training
+
+    losses = [0.5, 0.4, 0.39995, 0.39985, 0.6, 0.1]
+    rows = spark.createDataFrame([(1, k, x) for k, x in enumerate(losses)], "run int, epoch int, loss double")
+    want, best = [], None
+    for x in losses:
+        want.append(best is not None and x < best - 1e-4)
+        best = x if best is None or want[-1] else best
+    assert [r.save for r in training.saved(rows).orderBy("epoch").collect()] == want
+
+
+def test_grid(spark):
+    from mailloom.operators import training
+
+    rows = spark.createDataFrame([(f"cheap pills {k}", 0) for k in range(20)] + [(f"meeting notes {k}", 1) for k in range(20)], "text string, label_id int")
+    best, measures = training.grid(rows, [0.01, 0.1], [0.0])
+    assert len(measures) == 2 and training.spam_scores(best, rows.limit(1)).first().score > 0.5
+
+
+def test_cost():
+    from mailloom.operators import model
+
+    w = model.fresh(50, dims=8)
+    import numpy as np
+
+    ids = np.random.default_rng(0).integers(0, 50, (2, 20))
+    x = w["ids"][ids]
+    tops = [max(x[0, i : i + k].ravel() @ w[f"conv{k}"][:, 3] for i in range(21 - k)) for k in model.KERNELS]
+    h = np.maximum(np.concatenate([[max(x[0, i : i + k].ravel() @ w[f"conv{k}"][:, f] for i in range(21 - k)) for f in range(model.FILTERS)] for k in model.KERNELS]), 0)
+    assert np.isclose(h[3], max(tops[0], 0), atol=1e-5)
+    out = np.maximum(h @ w["w1"] + w["b1"], 0) @ w["w2"] + w["b2"]
+    assert np.allclose(model.logits(ids, w)[0], out, atol=1e-4)
