@@ -15,6 +15,8 @@ from mailloom.llm.graph import components
 BITS, TABLES, SAMPLE, MAX_DISTANCE = 128, 32, 14, 20
 #: A bucket of more signatures than this is split by additional bits, in SPREAD independent ways.
 BUCKET_CAP, SPREAD = 256, 4
+#: Up to this many ids of documents to drop (about 64 MB) are sent to all tasks; for more, documents are moved to their ids.
+BROADCAST_IDS = 4_000_000
 
 
 def signatures(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -231,6 +233,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = store.written(groups(docs, id_col, text_col), "simhash-groups")
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
     again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).count().where("count > 1").select("_again")
     again = store.written(again, "simhash-again")
