@@ -12,10 +12,10 @@ from mailloom.llm.tokenfile import PATTERN, VOCABULARY, ranks
 
 #: The words, most frequent first, whose ids are worked out once and put into the plan; all others are folded where they stand.
 #: The ids are the same for any number of them.
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 1 << 19
 
 _NONE = 1 << 30
-_SLOTS = 1 << 19
+_SLOTS = 1 << 20
 _SHIFTS = (0, 32)
 
 
