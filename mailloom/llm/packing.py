@@ -15,6 +15,8 @@ from mailloom.llm import multiindex, store
 
 #: Production parameters: characters of a window, neighbours of a document in the graph, length of a document's vector.
 WINDOW, NEIGHBOURS, DIMS = 8192, 5, 16
+#: Links that one task settles; more are settled in distributed rounds first, with the same result.
+SETTLED = 1 << 21
 
 _ONE = 1 << 14
 
@@ -82,35 +84,122 @@ def walk(near: dict[int, list[int]], gaps: dict[tuple[int, int], float]) -> list
     return paths
 
 
-def paths(graph: DataFrame) -> DataFrame:
-    """block, key, path and step of a graph's nodes (block, key, near: structs of a squared distance d and a key); links are those inside of a block."""
+_STATE = "d double, u bigint, v bigint, pu bigint, pv bigint, fu int, fv int"
+
+
+def links(near: DataFrame) -> DataFrame:
+    """d, u, v (u the lesser) of a graph (key, near: structs of a squared distance d and a key): each link once, with its least distance."""
+    each = near.select("key", F.explode("near").alias("n")).select("key", F.col("n.key").alias("to"), F.col("n.d").alias("d")).where("key <> to")
+    return each.groupBy(F.least("key", "to").alias("u"), F.greatest("key", "to").alias("v")).agg(F.min("d").alias("d")).select("d", "u", "v")
+
+
+def settle(d: np.ndarray, u: np.ndarray, v: np.ndarray, pu: np.ndarray, pv: np.ndarray, fu: np.ndarray, fv: np.ndarray) -> tuple[list[int], dict[int, int]]:
+    """The links (their places) that join paths, taken from the shortest on (then by u and v), and the path that each joined path becomes part of.
+
+    A link counts if each of its ends is an end of a path, and those are two paths.  pu and pv are the ends' paths, fu and fv how many
+    more links the ends may have.
+    """
+    order = np.lexsort((v, u, d))
+    free: dict[int, int] = dict(zip(u.tolist(), fu.tolist())) | dict(zip(v.tolist(), fv.tolist()))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while (up := root.get(x, x)) != top and up != x:
+            root[x] = top
+            x = up
+        return top
+
+    taken = []
+    for at, x, y, p, q in zip(order.tolist(), *(c[order].tolist() for c in (u, v, pu, pv))):
+        if free[x] and free[y] and (p := find(p)) != (q := find(q)):
+            root[max(p, q)] = min(p, q)
+            free[x] -= 1
+            free[y] -= 1
+            taken.append(at)
+    return taken, {x: find(x) for x in root}
+
+
+def join_paths(graph: DataFrame, settled: int = SETTLED) -> tuple[DataFrame, list[DataFrame]]:
+    """u and v of the links that make the paths of a graph (d, u, v), and tables of path and root, to be applied in turn.
+
+    All links of the graph count, wherever their ends are: the shortest link (then of the least u, then v) that joins ends of two paths is
+    taken, again and again.  A path is named by its least node.  While there are more than `settled` links, a round takes those that are
+    the shortest of both of their paths, which that order would take as well; one task then settles the rest.
+    """
+    live = store.written(graph.select("d", "u", "v", F.col("u").alias("pu"), F.col("v").alias("pv"), F.lit(2).alias("fu"), F.lit(2).alias("fv")), "packing-links")
+    found, moves = [], []
+    while live.count() > settled:
+        link = F.struct("d", "u", "v", "pu", "pv").alias("link")
+        best = live.select(F.explode(F.array("pu", "pv")).alias("path"), link).groupBy("path").agg(F.min("link").alias("link"))
+        both = best.groupBy("link").agg(F.count("*").alias("n")).where("n = 2").select("link.*")
+        both = store.written(both, "packing-taken")
+        found.append(both.select("u", "v"))
+        root = F.least("pu", "pv").alias("root")
+        move = store.written(both.select(F.explode(F.array(F.struct(F.col("pu").alias("path"), root, F.col("u").alias("end")), F.struct(F.col("pv").alias("path"), root, F.col("v").alias("end")))).alias("m")).select("m.*"), "packing-moves")
+        moves.append(move.where("path <> root").select("path", "root"))
+        for p, f, x in (("pu", "fu", "u"), ("pv", "fv", "v")):
+            joined = live.join(move, live[p] == move["path"], "left")
+            others = [c for c in live.columns if c not in (p, f)]
+            live = joined.select(*others, F.coalesce("root", p).alias(p), (F.col(f) - F.when(F.col("end") == F.col(x), 1).otherwise(0)).alias(f))
+        live = store.written(live.where("fu > 0 and fv > 0 and pu <> pv"), "packing-links")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            d, u, v, pu, pv, fu, fv = (table[c].to_numpy() for c in ("d", "u", "v", "pu", "pv", "fu", "fv"))
+            taken, root = settle(d, u, v, pu, pv, fu, fv)
+            for kind, x, y in ((0, u[taken], v[taken]), (1, list(root), list(root.values()))):
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(x), pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["kind", "a", "b"])
+
+    # At most `settled` links, in one task.
+    rest = store.written(live.select("d", "u", "v", "pu", "pv", "fu", "fv").coalesce(1).mapInArrow(run, "kind int, a bigint, b bigint"), "packing-settled")
+    taken = rest.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    for one in found:
+        taken = taken.unionByName(one)
+    return taken, [*moves, rest.where("kind = 1").select(F.col("a").alias("path"), F.col("b").alias("root"))]
+
+
+def paths(graph: DataFrame, nodes: DataFrame, settled: int = SETTLED) -> DataFrame:
+    """block, key, cell, path and step of all nodes (key, cell, group); graph has the links (d, u, v).
+
+    A path lies in the block and at the cell of its least node, whose key names it.
+    """
+    taken, moves = join_paths(graph, settled)
+    named = nodes.select("key", F.col("key").alias("path"))
+    for move in moves:
+        named = named.join(move, "path", "left").select("key", F.coalesce("root", "path").alias("path"))
+    ways = taken.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("w")).select(F.col("w.u").alias("key"), F.col("w.v").alias("to"))
+    ways = ways.groupBy("key").agg(F.collect_list("to").alias("to"))
+    first = nodes.select(F.col("key").alias("path"), "cell", F.col("group").alias("block"))
+    whole = named.join(ways, "key", "left").join(first, "path").select("block", "cell", "path", "key", F.coalesce("to", F.array().cast("array<bigint>")).alias("to"))
 
     def run(block: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         keys = table["key"].to_pylist()
-        near: dict[int, list[int]] = {}
-        gaps: dict[tuple[int, int], float] = {}
-        for u, found in zip(keys, table["near"].to_pylist()):
-            near[u] = [f["key"] for f in found or ()]
-            gaps |= {(u, f["key"]): f["d"] for f in found or ()}
-        # A link that both ends name has one distance, whichever names it.
-        for u, v in list(gaps):
-            if (v, u) in gaps:
-                gaps[u, v] = gaps[v, u] = min(gaps[u, v], gaps[v, u])
-        done = walk(near, gaps)
-        rows = [(u, p, s) for p, path in enumerate(done) for s, u in enumerate(path)]
-        yield pa.RecordBatch.from_arrays([pa.array([block[0].as_py()] * len(rows), pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*rows))], ["block", "key", "path", "step"])
-
-    return graph.groupBy("block").applyInArrow(run, "block int, key bigint, path bigint, step bigint")
+        to = dict(zip(keys, table["to"].to_pylist()))
+        step: dict[int, int] = {}
+        for start in sorted(k for k in keys if len(to[k]) < 2):
+            at, n = start, 0
+            while at is not None and at not in step:
+                step[at], n = n, n + 1
+                at = next((x for x in to[at] if x not in step), None)
+        steps = pa.array([step[k] for k in keys], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("block", "key", "cell", "path")), steps], ["block", "key", "cell", "path", "step"])
+
+    return whole.groupBy("block").applyInArrow(run, "block int, key bigint, cell int, path bigint, step bigint")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of windows: block, window, position, doc_id, begin, end, path.
 
-    Each document's k nearest neighbours are searched among all documents (see vectors() and the inverted multi-index).  Documents of
-    neighbouring cells, 32,768 distinct vectors or so, make a block, in which a task walks greedy paths, starting from documents of low
-    degree; documents with equal vectors stand together, by id.  A block's paths follow each other and are cut into windows of `window`
-    characters, so that only the last one of a block is shorter.  A piece is characters begin to end (exclusive, from 0) of a document
+    Each document's k nearest neighbours are searched among all documents (see vectors() and the inverted multi-index).  Greedy paths
+    cover the whole graph, whichever blocks its links cross (see join_paths()); documents with equal vectors stand together, by id.  The
+    paths that begin in neighbouring cells, 32,768 distinct vectors or so, make a block; they follow each other by cell and are cut into
+    windows of `window` characters, so that only the last one of a block is shorter.  A piece is characters begin to end (exclusive, from 0) of a document
     and lies at `position` in its window.  Every row of documents is packed, whole, once: a repeated row or id is packed again, a null
     id stays null, a text that is null or empty has one piece without characters, and texts without words come last, in block -1, by id.
     Other columns are left out.
@@ -118,15 +207,14 @@ def pack(docs: DataFrame, window: int = WINDOW, k: int = NEIGHBOURS, id_col: str
     rows = store.written(vectors(docs, id_col=id_col, text_col=text_col), "packing-vectors")
     marked = multiindex.distinct_vectors(rows.where("vec is not null"))
     built = multiindex.build(marked.where("place = 1").select(F.col("rep").alias("key"), "vec"), DIMS)
-    bare = rows.where("vec is null").select(F.lit(-1).alias("block"), "id", "n_chars", "row", F.lit(0).cast("bigint").alias("path"), F.lit(0).cast("bigint").alias("step"))
+    bare = rows.where("vec is null").select(F.lit(-1).alias("block"), F.lit(0).alias("cell"), "id", "n_chars", "row", F.lit(0).cast("bigint").alias("path"), F.lit(0).cast("bigint").alias("step"))
     placed = bare
     if built:
         index, entries = built
         near = multiindex.search(index, entries, k + 1)
-        graph = entries.select(F.col("group").alias("block"), "key").join(near.select("key", "near"), "key")
-        walked = paths(graph).withColumnRenamed("key", "rep")
-        placed = marked.join(walked, "rep").select("block", "id", "n_chars", "row", "path", "step").unionByName(bare)
-    order = W.partitionBy("block").orderBy("path", "step", F.asc_nulls_last("id"), "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+        walked = paths(links(near), entries.select("key", "cell", "group")).withColumnRenamed("key", "rep")
+        placed = marked.join(walked, "rep").select("block", "cell", "id", "n_chars", "row", "path", "step").unionByName(bare)
+    order = W.partitionBy("block").orderBy("cell", "path", "step", F.asc_nulls_last("id"), "row").rowsBetween(W.unboundedPreceding, W.currentRow)
     laid = placed.withColumn("stop", F.sum("n_chars").over(order)).withColumn("start", F.col("stop") - F.col("n_chars"))
     last = F.when(F.col("n_chars") > 0, F.col("stop") - 1).otherwise(F.col("start"))
     size = F.lit(window)

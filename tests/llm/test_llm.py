@@ -298,6 +298,32 @@ def test_walk():
         assert packing.walk(near, {(u, v): gap(u, v) for u in near for v in near[u]}) == brute_walk(near, gap)
 
 
+def brute_paths(links):
+    free, path, out = {}, {}, []
+    for _, u, v in sorted(links):
+        a, b = path.get(u, {u}), path.get(v, {v})
+        if free.get(u, 2) and free.get(v, 2) and not a & b:
+            out.append((u, v))
+            free[u], free[v] = free.get(u, 2) - 1, free.get(v, 2) - 1
+            path |= dict.fromkeys(a | b, a | b)
+    return out, path
+
+
+def test_links_across_blocks(spark):
+    rng = np.random.default_rng(8)
+    n = 300
+    links = {(int(u), int(v)): float(rng.integers(0, 50)) for u, v in np.sort(rng.integers(0, n, (900, 2)), axis=1) if u != v}
+    links = [(d, u, v) for (u, v), d in links.items()]
+    want, path = brute_paths(links)
+    graph = spark.createDataFrame(links, "d double, u bigint, v bigint").repartition(4)
+    nodes = spark.createDataFrame([(k, k % 7, k % 3) for k in range(n)], "key bigint, cell int, group int")
+    for settled in (10**6, 40):
+        got = packing.paths(graph, nodes, settled).toPandas().sort_values(["block", "cell", "path", "step"])
+        assert sorted(got.key) == list(range(n)) and all(min(path.get(k, {k})) == p for k, p in zip(got.key, got.path))
+        beside = {tuple(sorted((a, b))) for a, b, p, q in zip(got.key, got.key[1:], got.path, got.path[1:]) if p == q}
+        assert beside == set(want) and any(u % 3 != v % 3 for u, v in want)
+
+
 def test_packing(docs, odd, none):
     for table, window in ((docs, 8192), (odd, 100), (odd, 8192)):
         text = table.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).toPandas()
