@@ -17,9 +17,9 @@ from mailloom.llm.tokenfile import VOCABULARY, encoding
 #: Production parameters: ids that a window scores, and those of context before them (as many); width of the model and of its hidden layer;
 #: classes of ids, of which the first SINGLES hold one id each.
 STEP, CONTEXT, WIDTH, HIDDEN, CLASSES, SINGLES = 16, 16, 16, 32, 64, 40
-#: Windows in a step of training; of the runs of so many windows, over all documents, one of SHARE trains the model, in this many rounds.
+#: Windows in a step of training, and rounds, over which each window of all documents trains the model once.
 #: (What an id's class and its share of it rest on is counted over all ids of all documents.)
-BATCH, SHARE, ROUNDS = 128, 8, 2
+BATCH, ROUNDS = 128, 2
 #: Pieces whose ids a worker remembers; beyond that it begins anew.
 REMEMBERED = 400_000
 
@@ -284,11 +284,12 @@ def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.r_[x, np.zeros(-len(x) % WIDTH, np.float32)].reshape(-1, WIDTH)
 
 
-def train(tokens: DataFrame, size: int, rounds: int = ROUNDS, rate: float = 0.02, share: int = SHARE) -> Model:
-    """Fit a model to the documents' ids, a part of them that grows with the corpus.
+def train(tokens: DataFrame, size: int, rounds: int = ROUNDS, rate: float = 0.02) -> Model:
+    """Fit a model to the ids of all documents.
 
-    Ids' classes are counted over all documents.  In a round every task trains a copy of the model on its documents' windows, of `share`
-    runs of BATCH windows one, each round on others; then the copies are averaged, each weighing as many ids as it has seen.
+    Ids' classes are counted over all documents.  In a round every task trains a copy of the model on its documents' windows, of `rounds`
+    runs of BATCH windows one, each round on others, so that all windows train once; then the copies are averaged, each weighing as many
+    ids as it has seen.
     """
     spark = tokens.sparkSession
     model = fresh(id_counts(tokens, size))
@@ -303,7 +304,7 @@ def train(tokens: DataFrame, size: int, rounds: int = ROUNDS, rate: float = 0.02
                 for lo, hi in K.chunks(off):
                     inputs, goal, _, first = blocks(ids[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
                     for k in range(0, len(inputs), BATCH):
-                        if number % (share * rounds) == share * turn:
+                        if number % rounds == turn:
                             t.step(inputs[k : k + BATCH], goal[k : k + BATCH], first[k : k + BATCH])
                         number += 1
             if t.targets:
@@ -318,8 +319,8 @@ def train(tokens: DataFrame, size: int, rounds: int = ROUNDS, rate: float = 0.02
         kinds = "name bigint, weight double, " + ", ".join(f"v{k} double" for k in range(WIDTH))
         sums = [F.sum(c).alias(c) for c in ("weight", *(f"v{k}" for k in range(WIDTH)))]
         rows = tokens.select("ids").mapInArrow(run, kinds).groupBy("name").agg(*sums).toArrow()
-        if not rows.num_rows:
-            break
+        if not rows.num_rows:  # no task has a run of this round
+            continue
         name = rows["name"].to_numpy()
         mean = np.stack([rows[f"v{k}"].to_numpy() for k in range(WIDTH)], 1) / rows["weight"].to_numpy()[:, None]
         p = {k: v.copy() for k, v in model.p.items()}

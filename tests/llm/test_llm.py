@@ -422,6 +422,18 @@ def test_scores(spark, docs, odd, none):
     assert lm.score(odd).count() == len(ODD) and lm.score(none).count() == 0
 
 
+def test_every_window_trains(spark):
+    size, per = 2000, lm.BATCH * lm.STEP
+    rows = [(k, np.arange(size).astype("<u2").tobytes()) for k in range(16 * per // size)]
+    rows += [(900, np.full(3, size, "<u2").tobytes())]
+    for parts in (1, 3):
+        tokens = spark.createDataFrame(rows, "doc_id bigint, ids binary").repartition(parts)
+        model, start = lm.train(tokens, size + 1), lm.fresh(lm.id_counts(tokens, size + 1))
+        moved = (model.p["ids"] != start.p["ids"]).any(1)
+        # Every id but the last of a document is an input; the id that only one document has trains too.
+        assert moved[: size - 1].all() and moved[size] and moved[size + 1]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
