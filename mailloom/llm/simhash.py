@@ -13,8 +13,9 @@ from mailloom.llm.graph import components
 
 #: Production parameters: bits of a signature, tables, bits sampled by a table, largest distance of near duplicates.
 BITS, TABLES, SAMPLE, MAX_DISTANCE = 128, 32, 14, 20
-#: A bucket of more signatures than this is split by additional bits, in SPREAD independent ways.
-BUCKET_CAP, SPREAD = 256, 4
+#: A bucket of more signatures than this is split by additional bits, in so many ways that a pair at MAX_DISTANCE is apart in all of them
+#: with a chance of MISSED at most; half of that where a part is split again.
+BUCKET_CAP, MISSED = 256, 0.04
 #: Up to this many ids of documents to drop (about 64 MB) are sent to all tasks; for more, documents are moved to their ids.
 BROADCAST_IDS = 4_000_000
 
@@ -99,11 +100,41 @@ def near_pairs(sig: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarr
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def bucket_pairs(sig: np.ndarray, group: np.ndarray, table: int, depth: int = SAMPLE, limit: int = MAX_DISTANCE, cap: int = BUCKET_CAP, way: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Near pairs of each group.  A group of over cap rows is split by additional bits, in SPREAD ways, till its parts are small.
+def ways(rest: int, more: int, limit: int, missed: float) -> float:
+    """In how many ways to split by `more` of the `rest` unsampled bits, so that rows that differ in `limit` of these stay together in one."""
+    together = float(np.prod((rest - limit - np.arange(more)) / (rest - np.arange(more)))) if rest - limit >= more else 0.0
+    return np.ceil(np.log(missed) / np.log1p(-together)) if 0 < together < 1 else 1.0 if together else np.inf
 
-    When all bits are sampled the rest of a group has equal signatures, whose pairs are a chain.
+
+def star(sig: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Near pairs that connect a dense middle of some rows with itself and all rows near it; the rows that are then left to compare.
+
+    The middle are rows within half of the limit of one row, so all near each other; a row beyond one and a half limits is near none of it.
     """
+    bits = np.unpackbits(sig.view(np.uint8), axis=1)
+    centre = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(sig)).view(np.uint64)
+    pivot = int(distance(sig, centre).argmin())
+    away = distance(sig, sig[pivot])
+    middle = away <= limit // 2
+    if 4 * middle.sum() < len(sig):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.arange(len(sig))
+    direct = np.flatnonzero((away <= limit) & (np.arange(len(sig)) != pivot))
+    left, right = [direct], [np.full(len(direct), pivot)]
+    inside = np.flatnonzero(middle)
+    for x in np.flatnonzero((away > limit) & (away <= limit + limit // 2)):
+        near = inside[distance(sig[inside], sig[x]) <= limit][:1]
+        left.append(near)
+        right.append(np.full(len(near), x))
+    return np.concatenate(left), np.concatenate(right), np.flatnonzero(~middle)
+
+
+def bucket_pairs(sig: np.ndarray, group: np.ndarray, table: int, depth: int = SAMPLE, limit: int = MAX_DISTANCE, cap: int = BUCKET_CAP, missed: float = MISSED, rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs of each group; of a group of over cap rows, links that connect what its near pairs connect.
+
+    Such a group is split by additional bits, as are its parts, each time in as many ways as ways() tells, unless it takes fewer
+    comparisons to compare all of its rows.  When all bits are sampled the rest of a group has equal signatures, whose pairs are a chain.
+    """
+    rest = coordinates(table)[SAMPLE:] if rest is None else rest
     size = np.bincount(group)
     big = size > cap
     small = ~big[group]
@@ -116,25 +147,34 @@ def bucket_pairs(sig: np.ndarray, group: np.ndarray, table: int, depth: int = SA
             left.append(own[:-1])
             right.append(own[1:])
             continue
+        a, b, others = star(sig[own], limit)
+        left.append(own[a])
+        right.append(own[b])
+        own = own[others]
+        if len(own) < 2:
+            continue
         more = min(BITS - depth, max(1, int(np.ceil(np.log2(2 * len(own) / cap)))))
-        for w in range(SPREAD) if depth == SAMPLE else (way,):
-            bits = _rest(table, w)[depth - SAMPLE : depth - SAMPLE + more]
+        n = ways(len(rest), more, limit, missed)
+        if n * cap >= 2 * len(own):
+            a, b = near_pairs(sig[own], np.zeros(len(own), np.int64), limit)
+            a, b = local_links(np.arange(len(own)), a, b)
+            left.append(own[a])
+            right.append(own[b])
+            continue
+        for w in range(int(n)):
+            bits = np.random.default_rng((7, table, depth, w)).permutation(rest)
             key = np.zeros(len(own), np.int64)
-            for x in bits:
+            for x in bits[:more]:
                 key = key * 2 + ((sig[own, x // 64] >> np.uint64(x % 64)) & np.uint64(1)).astype(np.int64)
             order = np.argsort(key, kind="stable")
             _, part = np.unique(key[order], return_inverse=True)
-            a, b = bucket_pairs(sig[own[order]], part, table, depth + more, limit, cap, w)
-            left.append(own[order][a])
-            right.append(own[order][b])
+            a, b = bucket_pairs(sig[own[order]], part, table, depth + more, limit, cap, missed / 2, bits[more:])
+            a, b = local_links(np.arange(len(own)), order[a], order[b])
+            left.append(own[a])
+            right.append(own[b])
     return np.concatenate(left), np.concatenate(right)
 
 
-def _rest(table: int, way: int) -> np.ndarray:
-    """The bits that a table hasn't sampled, in the order of a way to split its buckets."""
-    return np.random.default_rng((7, table, way)).permutation(coordinates(table)[SAMPLE:])
-
-
 def local_links(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For pairs (rows a and b of ids), links of each member of a component to the component's least id."""
     x, y = ids[a], ids[b]

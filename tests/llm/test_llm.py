@@ -194,6 +194,29 @@ def test_oversized_buckets():
     assert len({(min(x, y), max(x, y)) for x, y in zip(a, b)} & {(k, k + 500) for k in range(500)}) >= 450
 
 
+def test_skewed_bucket():
+    rng = np.random.default_rng(9)
+    n, bits = 12000, rng.integers(0, 2, simhash.BITS).astype(np.uint8)
+    free = simhash.coordinates(0)[simhash.SAMPLE :]
+    rows = np.tile(bits, (n, 1))
+    rows[:, free] ^= rng.random((n, len(free))) < np.where(np.arange(n) < n // 2, 0.2, 0.5)[:, None]
+    copies = rows[::10].copy()
+    for k in range(len(copies)):
+        copies[k, rng.choice(free, 16 + k % 5, replace=False)] ^= 1
+    both = np.concatenate([rows, copies])
+    sig = np.packbits(both, axis=1, bitorder="little").view(np.uint64)
+    a, b = simhash.bucket_pairs(sig, np.zeros(len(sig), np.int64), 0)
+    least = np.arange(len(sig))
+    member, root = simhash.local_links(np.arange(len(sig)), a, b)
+    least[member] = root
+    for d in range(5):
+        at = np.arange(d, len(copies), 5)
+        assert np.mean(least[n + at] == least[10 * at]) >= 0.92
+    # Rows near none stay alone.
+    far = rng.integers(0, 2**63, (600, 2)).astype(np.uint64)
+    assert all(simhash.distance(far[x], far[y]) <= simhash.MAX_DISTANCE for x, y in zip(*simhash.bucket_pairs(far, np.zeros(600, np.int64), 0)))
+
+
 # 6
 
 
