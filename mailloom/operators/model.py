@@ -63,27 +63,45 @@ def scores(rows: DataFrame, weights: dict[str, np.ndarray], id_col: str, ids_col
     return rows.select(F.col(id_col).cast("bigint").alias("idx"), filled.alias("ids")).mapInArrow(run, "idx bigint, score double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query, rank, vec_id and cosine: the k most similar other vectors of a few queries (ties by id); queries are collected."""
-    asked = queries.select(id_col, vec_col).toArrow()
-    names = asked[id_col].to_numpy()
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    q = unit(np.array(asked[vec_col].to_pylist(), np.float64).reshape(len(names), -1)) if len(names) else None
+#: Rows of a block of queries or of vectors, about.
+BLOCK = 4096
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if q is None or not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()
-            c = q @ unit(np.array(batch.column(1).to_pylist(), np.float64)).T
-            c[names[:, None] == ids[None, :]] = -np.inf
-            best = np.lexsort((np.broadcast_to(ids, c.shape), -np.round(c, 9)), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(names)), best.shape[1])
-            value = c[rows, best.ravel()]
-            live = np.isfinite(value)
-            yield pa.RecordBatch.from_arrays([pa.array(names[rows][live]), pa.array(ids[best.ravel()][live]), pa.array(value[live])], ["query", "vec_id", "cosine"])
-
-    found = vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(run, "query bigint, vec_id bigint, cosine double")
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """query, rank, vec_id and cosine: the k most similar other vectors of each query (ties by id), exactly.
+
+    Each block of queries meets each block of vectors in a task; null vectors don't count.
+    """
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    sides = [x.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("vec is not null") for x in (queries, vectors)]
+    counts = [max(1, -(-x.count() // block)) for x in sides]
+    both = []
+    for side, (own, other) in enumerate((("a", "b"), ("b", "a"))):
+        at = F.pmod(F.xxhash64("id"), F.lit(counts[side])).cast("int").alias(own)
+        met = F.explode(F.sequence(F.lit(0), F.lit(counts[1 - side] - 1))).alias(other)
+        both.append(sides[side].select(F.lit(side).alias("side"), "id", "vec", at, met).select("a", "b", "side", "id", "vec"))
+
+    def run(table: pa.Table) -> pa.Table:
+        side, ids = table["side"].to_numpy(), table["id"].to_numpy()
+        asked, held = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if len(asked) and len(held):
+            m = unit(table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
+            for lo in range(0, len(asked), 256):
+                part = asked[lo : lo + 256]
+                c = m[part] @ m[held].T
+                c[ids[part][:, None] == ids[held][None, :]] = -np.inf
+                r = -np.round(c, 9)
+                last = np.partition(r, min(k, len(held)) - 1, axis=1)[:, min(k, len(held)) - 1]
+                x, y = np.nonzero((r <= last[:, None]) & np.isfinite(r))
+                order = np.lexsort((ids[held][y], r[x, y], x))
+                x, y = x[order], y[order]
+                few = np.arange(len(x)) - np.searchsorted(x, x) < k
+                for kept, values in zip(out, (ids[part][x[few]], ids[held][y[few]], c[x[few], y[few]])):
+                    kept.append(values)
+        return pa.table([pa.array(np.concatenate(x)) for x in out], ["query", "vec_id", "cosine"])
+
+    found = both[0].unionByName(both[1]).groupBy("a", "b").applyInArrow(run, "query bigint, vec_id bigint, cosine double")
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("cosine", 9)).alias("c"), "vec_id"))), 1, k)
     each = found.groupBy("query").agg(top.alias("top")).select("query", F.posexplode("top").alias("rank", "t"))
     return each.select("query", (F.col("rank") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), F.round(-F.col("t.c"), 6).alias("cosine"))

@@ -354,6 +354,12 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.nearest(vectors, vectors.where("vec_id < 20"))
 
 
+@query()
+def nearest_vectors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return model.nearest(vectors, vectors)
+
+
 @query("SELECT doc_id, text FROM documents")
 def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mailloom.sources.mailbox import appended

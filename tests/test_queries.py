@@ -133,6 +133,22 @@ def test_grid(spark):
     assert len(measures) == 2 and training.spam_scores(best, rows.limit(1)).first().score > 0.5
 
 
+def test_nearest_of_all(spark):
+    import numpy as np
+
+    from mailloom.operators import model
+
+    found = spark.read.parquet(f"{DIR}/embeddings.parquet")
+    rows = found.toPandas()
+    v = np.array(rows.embedding.tolist(), float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    c, ids = np.round(v @ v.T, 9), rows.vec_id.tolist()
+    want = {ids[i]: sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-c[i, j], ids[j]))[:10] for i in range(len(ids))}
+    for got in (QUERIES["nearest_vectors_all"](spark, DIR), model.nearest(found, found, block=120)):
+        near = got.toPandas().sort_values("rank").groupby("query").vec_id.apply(list).to_dict()
+        assert near == {q: [ids[j] for j in x] for q, x in want.items()}
+
+
 def test_cost():
     from mailloom.operators import model
 
