@@ -1,33 +1,39 @@
-"""Byte-level BPE by Spark's higher-order functions: ranked merges are folded over the bytes of words by a literal map of ranks."""
+"""Byte-level BPE by Spark's higher-order functions: ranked merges are folded over the bytes of distinct words by a literal map of ranks."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailloom.llm import store
 from mailloom.llm.tokenfile import PATTERN, VOCABULARY, ranks
 
-#: The words, most frequent first, whose ids are worked out once and put into the plan; all others are folded where they stand.
-#: The ids are the same for any number of them.
-HEAD_WORDS = 1 << 19
+#: Of the distinct words, all of which are folded once, the most frequent ones, this many at most, are put into the plan; documents get the
+#: ids of all others by a join.  The ids are the same for any number of them.
+HEAD_WORDS = 1 << 17
+#: Words of more bytes are first cut between bytes that no piece has side by side, and folded by all places of a pair at once.
+LONG = 64
+#: Distinct words that a task folds, about.
+FOLDED = 1 << 15
 
 _NONE = 1 << 30
-_SLOTS = 1 << 20
 _SHIFTS = (0, 32)
+_PLANE = 0x10000
 
 
-def _slots(key: np.ndarray) -> list[np.ndarray]:
-    """The two places of some 64-bit keys in a table of _SLOTS."""
-    return [(key.view(np.uint64) >> np.uint64(s)).astype(np.int64) & (_SLOTS - 1) for s in _SHIFTS]
+def _slots(key: np.ndarray, size: int) -> list[np.ndarray]:
+    """The two places of some 64-bit keys in a table."""
+    return [(key.view(np.uint64) >> np.uint64(s)).astype(np.int64) & (size - 1) for s in _SHIFTS]
 
 
-def place(keys: np.ndarray) -> np.ndarray:
+def place(keys: np.ndarray, size: int) -> np.ndarray:
     """Cuckoo hashing: for each slot the number of the key in it, or -1; keys for which there is no room are left out."""
-    one, two = (x.tolist() for x in _slots(keys))
-    at = [-1] * _SLOTS
+    one, two = (x.tolist() for x in _slots(keys, size))
+    at = [-1] * size
     for k in range(len(keys)):
         cur, slot = k, one[k]
         for _ in range(500):
@@ -38,18 +44,23 @@ def place(keys: np.ndarray) -> np.ndarray:
     return np.array(at)
 
 
-def pair_ranks(vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ranks of pairs of ids whose pieces together are a piece, as a table of displaced rows.
+def pair_ranks(vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ranks of pairs of ids whose pieces together are a piece, as a table of displaced rows, and which ids are calm.
 
-    Arrays shift, owner and rank: the pair (a, b) has a rank if owner[shift[a] + b] is a, and then rank[shift[a] + b].
+    Arrays shift, owner and rank: the pair (a, b) has a rank if owner[shift[a] + b] is a, and then rank[shift[a] + b].  An id is calm if
+    it is in no pair of a lower rank than its own, so that making it can't bring forth a pair that is due before its like.
     """
     rows: dict[int, dict[int, int]] = {}
+    most = max(vocabulary.values()) + 1
+    calm = np.ones(most, np.int32)
     for piece, i in vocabulary.items():
         for cut in range(1, len(piece)):
             a, b = vocabulary.get(piece[:cut]), vocabulary.get(piece[cut:])
             if a is not None and b is not None:
                 rows.setdefault(a, {})[b] = i
-    most = max(vocabulary.values()) + 1
+                for x in (a, b):
+                    if i < x:
+                        calm[x] = 0
     size = most + 4 * sum(map(len, rows.values()))
     shift, owner, rank = np.zeros(most, np.int32), np.full(size, -1, np.int32), np.zeros(size, np.int32)
     rng = np.random.default_rng(0)
@@ -58,30 +69,29 @@ def pair_ranks(vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np
         while (owner[(d := int(rng.integers(size - most))) + b] >= 0).any():
             pass
         shift[a], owner[d + b], rank[d + b] = d, a, list(row.values())
-    return shift, owner, rank
+    return shift, owner, rank, calm
 
 
-def _literal(spark: SparkSession, values: np.ndarray) -> Column:
-    """A literal array of int or bigint in Spark's compact form; wherever the column is used, the plan shares the one array."""
-    from pyspark.sql.classic.column import Column as Classic
+def neighbour_bytes(vocabulary: dict[bytes, int]) -> np.ndarray:
+    """For each byte times 256 plus a next byte, 1 if a piece has them side by side."""
+    out = np.zeros(1 << 16, np.int32)
+    for piece in vocabulary:
+        for a, b in zip(piece, piece[1:]):
+            out[a * 256 + b] = 1
+    return out
 
-    jvm, wide = spark._jvm, values.dtype.itemsize == 8
-    array = spark.sparkContext._gateway.new_array(jvm.long if wide else jvm.int, len(values))
-    raw = jvm.java.nio.ByteBuffer.wrap(bytearray(values.astype(">i8" if wide else ">i4").tobytes()))
-    (raw.asLongBuffer() if wide else raw.asIntBuffer()).get(array)
-    kinds = jvm.org.apache.spark.sql.types.DataTypes
-    kind = kinds.createArrayType(kinds.LongType if wide else kinds.IntegerType, False)
-    held = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData.fromPrimitiveArray(array)
-    return Classic(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(jvm.org.apache.spark.sql.catalyst.expressions.Literal(held, kind)))
 
-
-def _strings(spark: SparkSession, values: list[str]) -> Column:
-    used = set("".join(values))
-    mark = next(chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in used)
+def literals(spark: SparkSession, values: list[pa.Array]) -> list[Column]:
+    """Literal arrays in Spark's compact form, made from Arrow arrays; wherever such a column is used, the plan shares the one array."""
     from pyspark.sql.classic.column import Column as Classic
 
-    array = spark._jvm.org.apache.commons.lang3.StringUtils.splitPreserveAllTokens(mark.join(values), mark)
-    return Classic(spark._jvm.org.apache.spark.sql.functions.lit(array))
+    lists = [pa.LargeListArray.from_arrays(pa.array([0, len(v)], pa.int64()), v) if pa.types.is_list(v.type) or pa.types.is_string(v.type) else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
+    frame = spark.createDataFrame(pa.Table.from_arrays([x.cast(pa.list_(x.type.value_type)) for x in lists], [f"v{k}" for k in range(len(lists))]))
+    row = frame._jdf.queryExecution().executedPlan().executeTake(1)[0]
+    catalyst = spark._jvm.org.apache.spark.sql.catalyst.expressions
+    kinds = frame._jdf.schema()
+    wrap = spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column
+    return [Classic(wrap(catalyst.Literal(row.getArray(k).copy(), kinds.apply(k).dataType()))) for k in range(len(lists))]
 
 
 def _let(value: Column, use) -> Column:  # noqa: ANN001
@@ -89,34 +99,35 @@ def _let(value: Column, use) -> Column:  # noqa: ANN001
     return F.transform(F.array(value), use)[0]
 
 
+def _cut(values: Column, ends: Column, skip: int, use) -> Column:  # noqa: ANN001
+    """use() of the runs of an array that end before the places `ends` (skip 1: which are left out) or at them (skip 0)."""
+
+    def run(end: Column, k: Column) -> Column:
+        start = F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1)
+        return use(F.slice(values, start + 1, end - start + (1 - skip)))
+
+    return F.transform(ends, run)
+
+
 class Codec:
     """Encodes and decodes columns of a session by a vocabulary of at most 65,536 ranks.
 
-    head gives the key (Spark's 64-bit hash) and ids of some words, which are then looked up by it; the rest of the words are folded.
+    head gives the ids of some words (word, key, Spark's 64-bit hash of it, and ids), which are then looked up; the word itself is compared.
     """
 
-    def __init__(self, spark: SparkSession, vocabulary: str = VOCABULARY, head: pa.Table | None = None) -> None:
+    def __init__(self, spark: SparkSession, vocabulary: str = VOCABULARY) -> None:
         self.spark, pieces = spark, ranks(vocabulary)
-        if max(pieces.values()) >= 65536:
+        most = max(pieces.values()) + 1
+        if most > 65536:
             raise ValueError("ids of 65,536 and more aren't supported")
-        self.shift, self.owner, self.ranks = (_literal(spark, x) for x in pair_ranks(pieces))
-        self.bytes = _literal(spark, np.array([pieces[bytes([b])] for b in range(256)], np.int32))
-        by_id = [""] * (max(pieces.values()) + 1)
+        by_id = [""] * most
         for piece, i in pieces.items():
             by_id[i] = piece.decode("latin-1")
-        self.pieces = _strings(spark, by_id)
-        self.head = None
-        if head is not None and len(head):
-            ids = head["ids"].combine_chunks()
-            keys, size = head["key"].to_numpy(), pa.compute.list_value_length(ids).to_numpy().astype(np.int64)
-            start = np.cumsum(size) - size
-            at = place(keys)
-            some = at >= 0
-            table, span = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
-            table[some] = keys[at[some]]
-            span[some] = start[at[some]] << 20 | size[at[some]]
-            flat = ids.flatten().to_numpy().astype(np.int32)
-            self.head = tuple(_literal(spark, x) for x in (table, span, flat))
+        single = np.array([pieces[bytes([b])] for b in range(256)], np.int32)
+        signs = [chr(_PLANE + k) for k in range(most)]
+        numbers = [*pair_ranks(pieces), single, neighbour_bytes(pieces)]
+        found = literals(spark, [*map(pa.array, numbers), pa.array(by_id), pa.array(signs)])
+        self.shift, self.owner, self.ranks, self.calm, self.single, self.beside, self.pieces, self.signs = found
 
     def words(self, text: Column) -> Column:
         """The pieces that merges don't cross."""
@@ -126,38 +137,81 @@ class Codec:
         at = F.get(self.shift, a) + b
         return F.when(F.get(self.owner, at) == a, F.get(self.ranks, at)).otherwise(_NONE)
 
-    def fold(self, word: Column) -> Column:
-        """The ids of a word: of the pairs of neighbours that are pieces, the one of the lowest rank (then the first) is merged, again and again."""
+    def _pairs(self, s: Column) -> Column:
+        return F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), self._rank)
 
-        def merge(s: Column, r: Column, m: Column) -> Column:
-            p = F.array_position(r, m).cast("int")
-            return F.when(m == _NONE, s).otherwise(F.concat(F.slice(s, F.lit(1), p - 1), F.array(m), F.slice(s, p + 2, F.size(s))))
+    def _first(self, s: Column, r: Column, m: Column) -> Column:
+        """The ids with the first pair of rank m merged."""
+        p = F.array_position(r, m).cast("int")
+        return F.concat(F.slice(s, F.lit(1), p - 1), F.array(m), F.slice(s, p + 2, F.size(s)))
 
+    def _one_by_one(self, start: Column) -> Column:
         def step(s: Column, _: Column) -> Column:
-            return _let(F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), self._rank), lambda r: _let(F.array_min(r), lambda m: merge(s, r, m)))
+            return _let(self._pairs(s), lambda r: _let(F.array_min(r), lambda m: F.when(m == _NONE, s).otherwise(self._first(s, r, m))))
 
-        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        start = F.transform(chars, lambda c: F.get(self.bytes, F.ascii(c)))
         return _let(start, lambda s: F.aggregate(F.slice(s, F.lit(2), F.size(s)), s, step))
 
-    def word_ids(self, word: Column) -> Column:
-        if self.head is None:
-            return self.fold(word)
-        table, span, flat = self.head
+    def _all_at_once(self, start: Column) -> Column:
+        """The same; all pairs of the lowest rank are merged in one step where that comes to the same, so steps are as many as ranks, not as pairs."""
+
+        def every(s: Column, r: Column, m: Column) -> Column:
+            return F.filter(F.transform(s, lambda x, i: F.when(F.get(r, i) == m, m).when(F.get(r, i - 1) == m, -1).otherwise(x)), lambda x: x >= 0)
+
+        def twins(s: Column, a: Column, m: Column) -> Column:
+            """Runs of one id, of which pairs are merged from the left."""
+            line = F.array_join(F.transform(s, lambda x: F.get(self.signs, x)), "")
+            sign = F.get(self.signs, a)
+            return F.transform(F.split(F.replace(line, F.concat(sign, sign), F.get(self.signs, m)), ""), lambda c: F.ascii(c) - _PLANE)
+
+        def merged(s: Column, r: Column, m: Column) -> Column:
+            crossed = F.exists(F.zip_with(r, F.slice(r, F.lit(2), F.size(r)), lambda x, y: (x == m) & (y == m)), lambda x: F.coalesce(x, F.lit(False)))
+            a = F.get(s, F.array_position(r, m).cast("int") - 1)
+            same = F.forall(F.zip_with(r, F.transform(s, lambda x, i: (x == a) & (F.get(s, i + 1) == a)), lambda x, y: (x != m) | y), lambda x: x)
+            return F.when(F.get(self.calm, m) == 0, self._first(s, r, m)).when(~crossed, every(s, r, m)).when(same, twins(s, a, m)).otherwise(self._first(s, r, m))
 
-        def known(key: Column) -> Column:
-            one, two = (F.shiftrightunsigned(key, s).bitwiseAND(_SLOTS - 1).cast("int") for s in _SHIFTS)
-            place = F.when(F.get(table, one) == key, F.get(span, one)).when(F.get(table, two) == key, F.get(span, two))
-            return _let(place, lambda p: F.slice(flat, F.shiftright(p, 20).cast("int") + 1, p.bitwiseAND((1 << 20) - 1).cast("int")))
+        def state(s: Column, done: Column) -> Column:
+            return F.struct(s.alias("s"), done.alias("done"))
 
-        return F.coalesce(_let(F.xxhash64(word), known), self.fold(word))
+        def step(acc: Column, _: Column) -> Column:
+            def now(r: Column) -> Column:
+                return _let(F.array_min(r), lambda m: F.when(m == _NONE, state(acc["s"], F.lit(True))).otherwise(state(merged(acc["s"], r, m), F.lit(False))))
 
-    def encode(self, text: Column) -> Column:
-        """Ids (array of int) of a text; null for a null text, none for an empty one.
+            return F.when(acc["done"], acc).otherwise(_let(self._pairs(acc["s"]), now))
 
-        A word takes time in proportion to the square of its bytes, so texts of very long words without a blank are slow.
-        """
-        return F.flatten(F.transform(self.words(text), self.word_ids))
+        return _let(start, lambda s: F.aggregate(F.slice(s, F.lit(2), F.size(s)), state(s, F.lit(False)), step, lambda acc: acc["s"]))
+
+    def fold(self, word: Column) -> Column:
+        """The ids of a word: of the pairs of neighbours that are pieces, the one of the lowest rank (then the first) is merged, again and again."""
+        chars = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+
+        def ids(b: Column) -> Column:
+            return F.transform(b, lambda x: F.get(self.single, x))
+
+        def part(b: Column) -> Column:
+            return F.when(F.size(b) <= LONG, self._one_by_one(ids(b))).otherwise(self._all_at_once(ids(b)))
+
+        def cut(b: Column) -> Column:
+            place = F.transform(b, lambda x, i: i)
+            ends = F.filter(place, lambda i: (i == F.size(b) - 1) | (F.get(self.beside, F.get(b, i) * 256 + F.get(b, i + 1)) == 0))
+            return _let(ends, lambda e: F.flatten(_cut(b, e, 0, part)))
+
+        return F.when(F.octet_length(word) <= LONG, self._one_by_one(ids(chars))).otherwise(_let(chars, cut))
+
+    def lookup(self, head: pa.Table):  # noqa: ANN201
+        """A function of a column of words that gives the ids of those of the head (word, key and ids), null for the others."""
+        size = 1 << max(4, (2 * len(head)).bit_length())
+        at = place(head["key"].to_numpy(), size)
+        ids = head["ids"].combine_chunks() if len(head) else pa.array([], pa.list_(pa.int32()))
+        where = pa.array(at, mask=at < 0)
+        names = (head["word"].combine_chunks() if len(head) else pa.array([], pa.string())).take(where).fill_null("")
+        lists = ids.take(where).cast(pa.list_(pa.int32()))
+        name, held = literals(self.spark, [names, lists])
+
+        def known(word: Column, key: Column) -> Column:
+            one, two = (F.shiftrightunsigned(key, s).bitwiseAND(size - 1).cast("int") for s in _SHIFTS)
+            return F.when(F.get(name, one) == word, F.get(held, one)).when(F.get(name, two) == word, F.get(held, two))
+
+        return lambda words: F.zip_with(words, F.transform(words, lambda w: F.xxhash64(w)), known)
 
     def decode_binary(self, ids: Column) -> Column:
         """The concatenated binary pieces of ids; each piece's bytes are held as the characters of the same numbers."""
@@ -168,18 +222,53 @@ class Codec:
         return self.decode_binary(ids).cast("string")
 
 
-def frequent_words(docs: DataFrame, codec: Codec, text_col: str = "text", most: int = HEAD_WORDS) -> pa.Table:
-    """key and ids of the `most` words that occur most often (twice at least) in all documents, ties in order of the words."""
-    words = docs.select(F.explode(codec.words(F.col(text_col))).alias("w")).groupBy("w").count()
-    top = words.where("count > 1").orderBy(F.desc("count"), "w").limit(most).select("w")
-    rows = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).select(F.xxhash64("w").alias("key"), codec.fold(F.col("w")).alias("ids"))
-    return rows.dropDuplicates(["key"]).toArrow()
+def folded_words(docs: DataFrame, codec: Codec, text_col: str = "text") -> DataFrame:
+    """word, n (how often it occurs), ids and whether they decode to the word, of each distinct word of all documents; a written table."""
+    words = docs.select(F.explode(codec.words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = store.written(words, "bpe-words")
+    parts = max(1, math.ceil(words.count() / FOLDED))
+    folded = words.repartition(parts).select("word", "n", codec.fold(F.col("word")).alias("ids"))
+    return store.written(folded.select("*", (codec.decode(F.col("ids")) == F.col("word")).alias("exact")), "bpe-folded")
+
 
+def head_words(folded: DataFrame, most: int = HEAD_WORDS) -> tuple[DataFrame, pa.Table]:
+    """Which words are the head: those of the highest classes of frequency (64 for each doubling) that hold `most` words at most together."""
+    level = F.floor(F.log2("n") * 64)
+    levels = folded.where("exact").groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).toArrow()
+    held = np.cumsum(levels["words"].to_numpy()) if len(levels) else np.zeros(0)
+    inside = int((held <= most).sum())
+    least = int(levels["level"][inside - 1].as_py()) if inside else 1 << 20
+    is_head = F.col("exact") & (level >= least)
+    return folded.where(~is_head), folded.where(is_head).select("word", F.xxhash64("word").alias("key"), "ids").toArrow()
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, ids (array of int), n_tokens, and whether the ids decode to the very text (null for a null text)."""
+
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", most: int = HEAD_WORDS) -> DataFrame:
+    """One row a document: doc_id, ids (array of int), n_tokens, and whether the ids decode to the very text.
+
+    Each distinct word of all documents is folded once.  Documents look up the `most` most frequent words in literals and get the ids of
+    the others by a join on the word, to which only ids and those words move, not texts.  A null text has nulls, an empty one no ids;
+    repeated rows are encoded each; other columns are left out.  Very long words are cut where no merge can cross (see LONG), so their
+    time grows with their length, unless they have few such places and many different merges.
+    """
     codec = Codec(docs.sparkSession, vocabulary)
-    codec = Codec(docs.sparkSession, vocabulary, frequent_words(docs, codec, text_col))
-    coded = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), codec.encode(F.col(text_col)).alias("ids"))
+    folded = folded_words(docs, codec, text_col)
+    tail, head = head_words(folded, most)
+    lookup = codec.lookup(head)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), codec.words(F.col(text_col)).alias("words"))
+    rows = rows.select("doc_id", "text", "words", lookup(F.col("words")).alias("found"))
+    gaps = F.filter(F.transform("words", lambda w, i: i), lambda i: F.get("found", i).isNull())
+    rows = rows.select("*", (F.array_join("words", "") == F.col("text")).alias("covered"), gaps.alias("gaps"))
+    runs = _cut(F.col("found"), F.concat("gaps", F.array(F.size("words"))), 1, F.flatten)
+    rare = F.transform("gaps", lambda i: F.get("words", i))
+    # runs: the ids between the words that aren't in the head (rare), one more than those.
+    coded = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "covered", F.when(F.col("text").isNotNull(), runs).alias("runs"), rare.alias("rare"))
+    coded = store.written(coded, "bpe-coded")
+    some = F.size("rare") > 0
+    each = coded.where(some).select("row", F.posexplode("rare").alias("k", "word")).join(tail.select("word", "ids", "exact"), "word")
+    fills = each.groupBy("row").agg(F.bool_and("exact").alias("exact"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("fills"))
+    whole = coded.where(some).drop("rare").join(fills, "row")
+    filled = F.flatten(F.zip_with("runs", F.transform("fills", lambda x: x["ids"]), lambda a, b: F.when(b.isNull(), a).otherwise(F.concat(a, b))))
+    full = whole.select("doc_id", filled.alias("ids"), (F.col("covered") & F.col("exact")).alias("exact"))
+    plain = coded.where(~some | F.col("rare").isNull()).select("doc_id", F.get("runs", F.lit(0)).alias("ids"), F.col("covered").alias("exact"))
     size = F.when(F.col("ids").isNotNull(), F.size("ids")).cast("bigint")
-    return coded.select("doc_id", "ids", size.alias("n_tokens"), (codec.decode(F.col("ids")) == F.col("text")).alias("exact"))
+    return full.unionByName(plain).select("doc_id", "ids", size.alias("n_tokens"), "exact")

@@ -256,6 +256,18 @@ def test_byte_bpe(docs, odd, none):
     assert bpe.encode_documents(none).count() == 0
 
 
+def test_byte_bpe_of_rare_and_long_words(spark, docs):
+    encode = tokenfile.encoder()
+    # Nearly all words are beyond the head and come by the join.
+    got = {r.doc_id: r for r in bpe.encode_documents(docs, most=300).collect()}
+    assert all(list(got[r.doc_id].ids) == encode(r.text) and got[r.doc_id].exact for r in docs.collect())
+    rng = np.random.default_rng(0)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    texts = ["a" * n for n in (64, 65, 257, 1000)] + [" " * 300 + "x", "ab" * 500, "-" * 777, "aba" * 200, "字" * 300, "的是不我在有" * 150, draw("abcdefghijklmnopqrstuvwxyz", 1 << 20), draw("acgt", 3000), draw("0123456789", 3000), draw("aei", 2000)]
+    found = {r.doc_id: r for r in bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), most=3).collect()}
+    assert all(list(found[k].ids) == encode(t) and found[k].exact for k, t in enumerate(texts))
+
+
 # 8
 
 
