@@ -1,4 +1,7 @@
-"""Language-model scoring: a causal self-attention model on subword ids, trained in numpy on all documents, scores overlapping windows."""
+"""Language-model scoring: a causal self-attention model on subword ids, trained in numpy on all documents, scores overlapping windows.
+
+Beside the model, whose size is fixed, stands a memory of all blocks of ids that occur more than once, which grows with the corpus.
+"""
 
 from __future__ import annotations
 
@@ -16,10 +19,14 @@ from mailloom.llm.tokenfile import VOCABULARY, encoding
 
 #: Production parameters: ids that a window scores, and those of context before them (as many); width of the model and of its hidden layer;
 #: classes of ids, of which the first SINGLES hold one id each.
-STEP, CONTEXT, WIDTH, HIDDEN, CLASSES, SINGLES = 16, 16, 16, 32, 64, 40
-#: Windows in a step of training, and rounds, over which each window of all documents trains the model once.
-#: (What an id's class and its share of it rest on is counted over all ids of all documents.)
-BATCH, ROUNDS = 128, 2
+STEP, CONTEXT, WIDTH, HIDDEN, CLASSES, SINGLES = 16, 16, 16, 32, 128, 96
+#: Windows in a step of training, ids (about) that one copy of the model trains on, and rounds, over which each window of all distinct
+#: texts trains the model once.  (What an id's class and its share of it rest on is counted over all ids of all documents.)
+BATCH, SHARD, ROUNDS = 128, 1 << 21, 2
+#: Share of a block's probability that is its share of the other blocks of the corpus.
+MEMORY = 0.05
+#: Parameters are averaged as multiples of this, in whole numbers, so that no order of the sums alters them.
+_UNIT = 2.0**-24
 #: Pieces whose ids a worker remembers; beyond that it begins anew.
 REMEMBERED = 400_000
 
@@ -93,32 +100,32 @@ class Model:
     within: np.ndarray
 
 
-def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def classes(counts: np.ndarray, most: int = CLASSES, single: int = SINGLES) -> tuple[np.ndarray, np.ndarray]:
     """Class and log share of each id: the most frequent ids are classes of their own, the rest (by frequency) fill classes of like weight."""
     order = np.lexsort((np.arange(len(counts)), -counts))
     weight = counts + 0.5
     kind = np.zeros(len(counts), np.int64)
-    singles = min(SINGLES, len(counts))
+    singles = min(single, len(counts))
     kind[order[:singles]] = np.arange(singles)
     rest = order[singles:]
     if len(rest):
         mass = np.cumsum(weight[rest]) - weight[rest]
-        kind[rest] = singles + np.minimum((mass / (mass[-1] + 1) * (CLASSES - singles)).astype(np.int64), CLASSES - singles - 1)
-    return kind, np.log(weight / np.bincount(kind, weight, CLASSES)[kind])
+        kind[rest] = singles + np.minimum((mass / (mass[-1] + 1) * (most - singles)).astype(np.int64), most - singles - 1)
+    return kind, np.log(weight / np.bincount(kind, weight, most)[kind])
 
 
-def fresh(counts: np.ndarray) -> Model:
+def fresh(counts: np.ndarray, most: int = CLASSES, single: int = SINGLES) -> Model:
     """An untrained model for ids that occur so often; it gives each class its share of the corpus."""
-    kind, within = classes(counts)
+    kind, within = classes(counts, most, single)
     rng = np.random.default_rng(0)
 
     def draw(*shape: int, scale: float) -> np.ndarray:
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
     w = WIDTH**-0.5
-    share = np.log(np.bincount(kind, counts + 0.5, CLASSES).clip(0.5))
+    share = np.log(np.bincount(kind, counts + 0.5, most).clip(0.5))
     p = {"ids": draw(len(counts) + 1, WIDTH, scale=0.3), "place": np.zeros((STEP, _SPAN), np.float32)}
-    p |= {"wqkv": draw(WIDTH, 3 * WIDTH, scale=w), "wo": draw(WIDTH, WIDTH, scale=w), "w1": draw(WIDTH, HIDDEN, scale=w), "b1": np.zeros(HIDDEN, np.float32), "wc": draw(HIDDEN, CLASSES, scale=0.1), "bc": (share - share.max()).astype(np.float32)}
+    p |= {"wqkv": draw(WIDTH, 3 * WIDTH, scale=w), "wo": draw(WIDTH, WIDTH, scale=w), "w1": draw(WIDTH, HIDDEN, scale=w), "b1": np.zeros(HIDDEN, np.float32), "wc": draw(HIDDEN, most, scale=0.1), "bc": (share - share.max()).astype(np.float32)}
     return Model(p, kind, within)
 
 
@@ -174,15 +181,16 @@ def forward(p: dict[str, np.ndarray], inputs: np.ndarray, first: np.ndarray) ->
     return z, x, q, k, v, a, total, o, y, u
 
 
-def backward(p: dict[str, np.ndarray], goal: np.ndarray, kept: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss over the targets (classes by place, -1 for none); that of ids is by place."""
+def backward(p: dict[str, np.ndarray], goal: np.ndarray, kept: tuple[np.ndarray, ...], weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss (weighted, if weights by place are given) over the targets (classes by place, -1 for none); that of ids is by place."""
     z, x, q, k, v, a, total, o, y, u = kept
     n = len(a)
     live = np.flatnonzero(goal >= 0)
+    share = (goal >= 0).astype(np.float64) if weight is None else weight * (goal >= 0)
+    share = (share / max(1e-9, share.sum())).astype(np.float32)
     dz = np.exp(z)
-    dz /= dz.sum(1, keepdims=True)
-    dz[live, goal[live]] -= 1
-    dz *= ((goal >= 0) / np.float32(max(1, len(live)))).astype(np.float32)[:, None]
+    dz *= (share / dz.sum(1))[:, None]
+    dz[live, goal[live]] -= share[live]
     g = {"wc": u.T @ dz, "bc": dz.sum(0)}
     du = (dz @ p["wc"].T) * (u > 0)
     g |= {"w1": y.T @ du, "b1": du.sum(0)}
@@ -212,10 +220,11 @@ class Trainer:
         self.seen = np.zeros(len(self.p["ids"]), np.int64)
         self.targets = 0
 
-    def step(self, inputs: np.ndarray, goal: np.ndarray, first: np.ndarray) -> None:
+    def step(self, inputs: np.ndarray, goal: np.ndarray, first: np.ndarray, copies: np.ndarray | None = None) -> None:
+        """One step on some blocks, of which there are so many copies (1 each if not given)."""
         goal = goal.ravel()
         want = np.where(goal >= 0, self.kind[goal], -1)
-        g = backward(self.p, want, forward(self.p, inputs, first))
+        g = backward(self.p, want, forward(self.p, inputs, first), None if copies is None else np.repeat(copies, STEP))
         self.steps += 1
         self.targets += int((goal >= 0).sum())
         for k in _DENSE:
@@ -234,7 +243,7 @@ class Trainer:
 
 
 def token_table(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (little-endian uint16; null for a null text), a written table."""
+    """row (a number of its own), doc_id and ids (little-endian uint16; null for a null text), a written table."""
 
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
@@ -251,7 +260,8 @@ def token_table(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "do
         bits = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
         return pa.Array.from_buffers(pa.large_binary(), len(column), [bits, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.concatenate(parts).tobytes())]).cast(pa.binary())
 
-    return store.written(docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("ids")), "lm-tokens")
+    coded = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("ids"))
+    return store.written(coded, "lm-tokens")
 
 
 _subwords: dict[str, Subwords] = {}
@@ -284,45 +294,110 @@ def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.r_[x, np.zeros(-len(x) % WIDTH, np.float32)].reshape(-1, WIDTH)
 
 
-def train(tokens: DataFrame, size: int, rounds: int = ROUNDS, rate: float = 0.02) -> Model:
+def distinct_texts(tokens: DataFrame, shards: int) -> DataFrame:
+    """shard, one, two (two hashes), ids and n: each text's ids once, of a task's copies, with the number of them, or later (without ids) of more of them.
+
+    A text's hash alone says which shard it is in.  Copies are merged before they move, so that no shard gets the rows of a hot text.
+    """
+    keyed = tokens.where("ids is not null and octet_length(ids) > 0").select(F.xxhash64("ids").alias("one"), F.xxhash64(F.lit(1), "ids").alias("two"), "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            new = []
+            for k, key in enumerate(keys):
+                if key in more:
+                    more[key] += 1
+                else:
+                    more[key] = 0
+                    new.append(k)
+            part = batch.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.ones(len(part), np.int64))], ["one", "two", "ids", "n"])
+        again = [(*key, n) for key, n in more.items() if n]
+        if again:
+            one, two, n = (pa.array(list(x), pa.int64()) for x in zip(*again))
+            yield pa.RecordBatch.from_arrays([one, two, pa.nulls(len(again), pa.binary()), n], ["one", "two", "ids", "n"])
+
+    return keyed.mapInArrow(run, "one bigint, two bigint, ids binary, n bigint").withColumn("shard", F.pmod("one", F.lit(shards)).cast("int"))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Shard, ids, offsets and numbers of copies of chunks of texts; what a chunk holds depends on the order of the rows alone."""
+    place, key, held, copies, size = None, None, [], [], 0
+
+    def chunk() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        ids = [np.frombuffer(x, "<u2") for x in held]
+        return place, np.concatenate(ids).astype(np.int64), np.r_[0, np.cumsum([len(x) for x in ids])], np.array(copies, np.float64)
+
+    for batch in batches:
+        shard, one, two, ids, n = (c if k == 3 else c.to_pylist() for k, c in enumerate(batch.columns))
+        for k in range(len(batch)):
+            if (shard[k], one[k], two[k]) == key:
+                copies[-1] += n[k]
+                continue
+            if held and (shard[k] != place or size >= 1 << 18):
+                yield chunk()
+                held, copies, size = [], [], 0
+            place, key = shard[k], (shard[k], one[k], two[k])
+            held.append(ids[k].as_py())
+            copies.append(n[k])
+            size += len(held[-1]) // 2
+    if held:
+        yield chunk()
+
+
+def train(tokens: DataFrame, size: int, rounds: int = ROUNDS, rate: float = 0.02, shard: int = SHARD, most: int = CLASSES, single: int = SINGLES) -> Model:
     """Fit a model to the ids of all documents.
 
-    Ids' classes are counted over all documents.  In a round every task trains a copy of the model on its documents' windows, of `rounds`
-    runs of BATCH windows one, each round on others, so that all windows train once; then the copies are averaged, each weighing as many
-    ids as it has seen.
+    Ids' classes are counted over all documents.  The distinct texts, each weighing as many as it has copies, are dealt by their hash to
+    shards of about `shard` ids, and shards to rounds, so all windows train once.  In a round each shard trains a copy of the model, in
+    order of the hashes; then the copies are averaged, each weighing as many ids as it has seen, in whole numbers.  So neither partitions
+    nor the order of rows or sums alter the model.
     """
     spark = tokens.sparkSession
-    model = fresh(id_counts(tokens, size))
-    for turn in range(rounds):
+    counts = id_counts(tokens, size)
+    model = fresh(counts, most, single)
+    shards = max(1, int(np.ceil(counts.sum() / shard)))
+    texts = distinct_texts(tokens, shards)
+    for turn in range(min(rounds, shards)):
         shared = spark.sparkContext.broadcast(model)  # the vocabulary times WIDTH numbers
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            t = Trainer(shared.value, rate * 0.5**turn)
-            number = 0  # of the run
-            for batch in batches:
-                ids, off = _ids(batch.column(0))
-                for lo, hi in K.chunks(off):
-                    inputs, goal, _, first = blocks(ids[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size)
-                    for k in range(0, len(inputs), BATCH):
-                        if number % rounds == turn:
-                            t.step(inputs[k : k + BATCH], goal[k : k + BATCH], first[k : k + BATCH])
-                        number += 1
-            if t.targets:
+            K.single_thread()
+            at, t = None, None
+
+            def result() -> pa.RecordBatch:
                 seen = np.flatnonzero(t.seen)
                 dense = _flat(t.p)
-                values = np.concatenate([dense, t.p["ids"][seen]]).astype(np.float64)
-                weight = np.r_[np.full(len(dense), t.targets), t.seen[seen]].astype(np.float64)
+                values = np.rint(np.concatenate([dense, t.p["ids"][seen]]).astype(np.float64) / _UNIT)
+                weight = np.r_[np.full(len(dense), t.targets), t.seen[seen]]
                 name = np.r_[-1 - np.arange(len(dense)), seen]
-                columns = [pa.array(name), pa.array(weight), *(pa.array(values[:, k] * weight) for k in range(WIDTH))]
-                yield pa.RecordBatch.from_arrays(columns, ["name", "weight", *(f"v{k}" for k in range(WIDTH))])
-
-        kinds = "name bigint, weight double, " + ", ".join(f"v{k} double" for k in range(WIDTH))
-        sums = [F.sum(c).alias(c) for c in ("weight", *(f"v{k}" for k in range(WIDTH)))]
-        rows = tokens.select("ids").mapInArrow(run, kinds).groupBy("name").agg(*sums).toArrow()
-        if not rows.num_rows:  # no task has a run of this round
+                columns = [pa.array(name), pa.array(weight), *(pa.array(values[:, k].astype(np.int64) * weight) for k in range(WIDTH))]
+                return pa.RecordBatch.from_arrays(columns, ["name", "weight", *(f"v{k}" for k in range(WIDTH))])
+
+            for place, ids, off, copies in _texts(batches):
+                if place != at:
+                    if t is not None:
+                        yield result()
+                    at, t = place, Trainer(shared.value, rate * 0.5**turn)
+                inputs, goal, row, first = blocks(ids, off, size)
+                weight = copies[row]
+                for k in range(0, len(inputs), BATCH):
+                    part = slice(k, k + BATCH)
+                    t.step(inputs[part], goal[part], first[part], weight[part])
+            if t is not None:
+                yield result()
+
+        kinds = "name bigint, weight bigint, " + ", ".join(f"v{k} bigint" for k in range(WIDTH))
+        sums = [F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in ("weight", *(f"v{k}" for k in range(WIDTH)))]
+        own = texts.where(F.col("shard") % rounds == turn).select(F.floor(F.col("shard") / rounds).cast("int").alias("to"), "shard", "one", "two", "ids", "n")
+        own = own.repartitionById(-(-shards // rounds), F.col("to")).sortWithinPartitions("shard", "one", "two", F.col("ids").isNull(), "n")
+        rows = own.select("shard", "one", "two", "ids", "n").mapInArrow(run, kinds).groupBy("name").agg(*sums).toArrow()
+        if not rows.num_rows:
             continue
         name = rows["name"].to_numpy()
-        mean = np.stack([rows[f"v{k}"].to_numpy() for k in range(WIDTH)], 1) / rows["weight"].to_numpy()[:, None]
+        mean = np.stack([rows[f"v{k}"].to_numpy() for k in range(WIDTH)], 1) / rows["weight"].to_numpy()[:, None] * _UNIT
         p = {k: v.copy() for k, v in model.p.items()}
         p["ids"][name[name >= 0]] = mean[name >= 0]
         dense = np.zeros_like(_flat(p))
@@ -335,11 +410,16 @@ def train(tokens: DataFrame, size: int, rounds: int = ROUNDS, rate: float = 0.02
     return model
 
 
-def log_probs(ids: np.ndarray, off: np.ndarray, model: Model, at_once: int = 256) -> np.ndarray:
-    """The log-probability of each row's ids; every id is scored once, in the one window that has it among its last STEP places."""
-    out = np.zeros(len(off) - 1)
+def block_log_probs(ids: np.ndarray, off: np.ndarray, model: Model, at_once: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The row of each block of ids, its log-probability by the model, whether it is full, and a hash of its ids (of full ones).
+
+    Every id is scored once, in the one window that has it among its last STEP places.
+    """
+    rows, logs, fulls, hashes = [], [], [], []
+    mul = np.uint64(0x9E3779B97F4A7C15)
     for lo, hi in K.chunks(off, 1 << 18):
         inputs, goal, row, first = blocks(ids[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], len(model.kind))
+        log = np.zeros(len(row))
         for k in range(0, len(row), at_once):
             lead = max(0, k - 1)  # the first window's context
             part = slice(k, k + at_once)
@@ -350,28 +430,66 @@ def log_probs(ids: np.ndarray, off: np.ndarray, model: Model, at_once: int = 256
             chosen = z[live, model.kind[want]].astype(np.float64) + model.within[want]
             np.exp(z, out=z)
             found = chosen - np.log(z.sum(1)[live])
-            out[lo:hi] += np.bincount(row[k + live // STEP], found, hi - lo)
-    return out
+            log[part] = np.bincount(live // STEP, found, len(goal[part]))
+        real = goal[:, 0] >= 0
+        h = np.zeros(len(goal), np.uint64)
+        for k in range(STEP):
+            h = K.mix64(h * mul + (goal[:, k] + 1).astype(np.uint64), 30)
+        rows.append(lo + row[real])
+        logs.append(log[real])
+        fulls.append(goal[real, -1] >= 0)
+        hashes.append(h[real].view(np.int64))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), np.zeros(0, np.int64)
+    return tuple(map(np.concatenate, (rows, logs, fulls, hashes)))
+
+
+def log_probs(ids: np.ndarray, off: np.ndarray, model: Model, at_once: int = 256) -> np.ndarray:
+    """The log-probability of each row's ids by the model alone."""
+    row, log, _, _ = block_log_probs(ids, off, model, at_once)
+    return np.bincount(row, log, len(off) - 1) if len(row) else np.zeros(len(off) - 1)
 
 
-def score_tokens(tokens: DataFrame, model: Model) -> DataFrame:
+def score_tokens(tokens: DataFrame, model: Model, memory: float = MEMORY) -> DataFrame:
+    """doc_id, n_tokens, log_prob and perplexity of each row of a token table; see score()."""
     shared = tokens.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("struct<rest: double, log: array<double>, key: array<bigint>>")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array(log_probs(*_ids(column), shared.value), mask=column.is_null().to_numpy(zero_copy_only=False))
+        K.single_thread()
+        ids, off = _ids(column)
+        row, log, full, key = block_log_probs(ids, off, shared.value)
+        rest = np.bincount(row[~full], log[~full], len(column)) if len(row) else np.zeros(len(column))
+        ends = pa.array(np.r_[0, np.cumsum(np.bincount(row[full], minlength=len(column)))].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (log[full], key[full])]
+        return pa.StructArray.from_arrays([pa.array(rest), *lists], ["rest", "log", "key"], mask=column.is_null())
 
     n = (F.octet_length("ids") / 2).cast("bigint")
-    found = tokens.select("doc_id", n.alias("n_tokens"), run("ids").alias("log_prob"))
-    return found.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))))
+    found = tokens.select("row", "doc_id", n.alias("n_tokens"), run("ids").alias("f"))
+    found = store.written(found.select("row", "doc_id", "n_tokens", "f.rest", "f.log", "f.key"), "lm-blocks")
+    often = found.select(F.explode("key").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    often = store.written(often.where("n > 1"), "lm-memory")
+    total = found.agg(F.coalesce(F.sum(F.size("key")), F.lit(0))).first()[0]
+    each = found.select("row", F.explode(F.arrays_zip("log", "key")).alias("b")).select("row", "b.log", "b.key").join(often, "key")
+    # log((1 - memory) p + memory q) - log((1 - memory) p), for the larger of the two apart.
+    p, q = F.col("log") + float(np.log1p(-memory)), F.log(memory * (F.col("n") - 1) / max(1, total - 1))
+    gain = F.greatest(p, q) - p + F.log1p(F.exp(-F.abs(p - q)))
+    gains = each.groupBy("row").agg(F.sum(gain).alias("gain"))
+    base = F.col("rest") + F.aggregate("log", F.lit(0.0), lambda acc, x: acc + x + float(np.log1p(-memory)))
+    scored = found.select("row", "doc_id", "n_tokens", base.alias("base")).join(gains, "row", "left")
+    scored = scored.select("doc_id", "n_tokens", (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("log_prob"))
+    return scored.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))))
 
 
 def score(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_tokens, log_prob (natural logarithm, summed over its ids) and perplexity (by id).
 
-    The model is trained on the documents that it scores, all of them.  An id's probability is that of its class, by the attention model
-    over up to CONTEXT + STEP - 1 ids before it, times its share of its class in the corpus; they sum to 1 over the vocabulary.  A null text has
-    nulls, an empty one no ids, a log_prob of 0 and a null perplexity; repeated rows are scored each.  Other columns are left out.
+    The model is trained on the documents that it scores, all of them, and how they are partitioned doesn't alter the scores.  An id's
+    probability is that of its class, by the attention model over up to CONTEXT + STEP - 1 ids before it, times its share of its class in
+    the corpus; they sum to 1 over the vocabulary.  The probability of a full block of STEP ids (counted from the document's start) is
+    that, but for a share MEMORY, which is the block's share of all other full blocks of the corpus; so what occurs elsewhere too is
+    likelier, and a block that occurs once has no part in its own memory.  A null text has nulls, an empty one no ids, a log_prob of 0
+    and a null perplexity; repeated rows are scored each.  Other columns are left out.
     """
     size = max(encoding(vocabulary)._mergeable_ranks.values()) + 1
     if size > 1 << 16:

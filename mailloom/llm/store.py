@@ -41,11 +41,3 @@ def remove(df: DataFrame) -> None:
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as texts can be very long; a session that is set lower stays so."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)

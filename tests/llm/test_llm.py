@@ -447,6 +447,7 @@ def test_model():
 
 def test_scores(spark, docs, odd, none):
     scored = lm.score(docs).toPandas()
+    assert sorted(scored.doc_id) == sorted(r.doc_id for r in docs.select("doc_id").collect())
     tokens = lm.token_table(docs)
     counts = lm.id_counts(tokens, 50256)
     assert scored.n_tokens.sum() == counts.sum()
@@ -457,16 +458,65 @@ def test_scores(spark, docs, odd, none):
     assert lm.score(odd).count() == len(ODD) and lm.score(none).count() == 0
 
 
-def test_every_window_trains(spark):
-    size, per = 2000, lm.BATCH * lm.STEP
-    rows = [(k, np.arange(size).astype("<u2").tobytes()) for k in range(16 * per // size)]
-    rows += [(900, np.full(3, size, "<u2").tobytes())]
-    for parts in (1, 3):
-        tokens = spark.createDataFrame(rows, "doc_id bigint, ids binary").repartition(parts)
-        model, start = lm.train(tokens, size + 1), lm.fresh(lm.id_counts(tokens, size + 1))
-        moved = (model.p["ids"] != start.p["ids"]).any(1)
-        # Every id but the last of a document is an input; the id that only one document has trains too.
-        assert moved[: size - 1].all() and moved[size] and moved[size + 1]
+def brute_memory(texts, model, memory):
+    """Each full block's own product of probabilities, mixed with its share of all other full blocks."""
+    blocks = [[tuple(t[k : k + lm.STEP]) for k in range(0, len(t) - lm.STEP + 1, lm.STEP)] for t in texts]
+    every = [b for bs in blocks for b in bs]
+    out = []
+    for t, bs in zip(texts, blocks):
+        total = 0.0
+        for k in range(0, len(t), lm.STEP):
+            p = brute_log_prob(t[: k + lm.STEP], model) - brute_log_prob(t[:k], model)
+            if k // lm.STEP < len(bs):
+                share = (every.count(bs[k // lm.STEP]) - 1) / max(1, len(every) - 1)
+                p = np.logaddexp(np.log1p(-memory) + p, np.log(memory * share)) if share else np.log1p(-memory) + p
+            total += p
+        out.append(total)
+    return out
+
+
+def test_memory_of_blocks(spark):
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(0, 40, 40).tolist(), rng.integers(0, 40, 50).tolist()
+    texts = [a, b, a, a[:20], b[:32] + [1, 2, 3], [], [7] * 16]
+    rows = [(k, k, np.array(t, "<u2").tobytes()) for k, t in enumerate(texts)] + [(90, 90, None)]
+    tokens = spark.createDataFrame(rows, "row bigint, doc_id bigint, ids binary").repartition(3)
+    model = lm.fresh(np.bincount(np.concatenate(texts).astype(int), minlength=50))
+    got = {r.doc_id: r for r in lm.score_tokens(tokens, model, 0.05).collect()}
+    assert np.allclose([got[k].log_prob for k in range(len(texts))], brute_memory(texts, model, 0.05), atol=1e-3) and got[90].log_prob is None
+    assert got[0].log_prob > got[1].log_prob and got[5].log_prob == 0
+
+
+def test_every_text_trains_once(spark):
+    rng = np.random.default_rng(12)
+    texts = [rng.integers(0, 200, int(n)).astype("<u2").tobytes() for n in rng.integers(0, 900, 300)]
+    rows = [(k, k, x) for k, x in enumerate([*texts, *texts[:50], *texts[:1] * 40, None])]
+    tokens = spark.createDataFrame(rows, "row bigint, doc_id bigint, ids binary")
+    for parts in (1, 5):
+        seen = {}
+        for shard, batches in lm.distinct_texts(tokens.repartition(parts), 7).toPandas().groupby("shard"):
+            for r in batches.itertuples():
+                seen.setdefault((r.one, r.two), [shard, None, 0])
+                seen[r.one, r.two][1] = r.ids or seen[r.one, r.two][1]
+                seen[r.one, r.two][2] += r.n
+                assert seen[r.one, r.two][0] == shard
+        counts = {t: 0 for t in texts if t}
+        for _, _, t in rows:
+            if t:
+                counts[t] += 1
+        assert {bytes(x[1]): x[2] for x in seen.values()} == counts
+
+
+def test_partitions_do_not_matter(spark, docs):
+    tokens = lm.token_table(docs)
+    few = [lm.train(tokens.repartition(n), 50256, shard=1 << 15) for n in (1, 8)]
+    assert all(np.allclose(few[0].p[k], few[1].p[k], atol=1e-6) for k in few[0].p)
+    start = lm.fresh(lm.id_counts(tokens, 50256))
+    ids = np.concatenate([np.frombuffer(r.ids, "<u2")[:-1] for r in tokens.collect()])
+    # Every id that is an input has trained.
+    assert (few[0].p["ids"] != start.p["ids"]).any(1)[np.unique(ids)].all()
+    scores = [{r.doc_id: r.log_prob for r in lm.score(docs.repartition(n)).collect()} for n in (1, 8)]
+    assert all(abs(scores[0][i] - scores[1][i]) <= 1e-6 * abs(scores[0][i]) for i in scores[0])
 
 
 def test_pipeline(spark):
