@@ -1,4 +1,4 @@
-"""Byte-level BPE by Spark's higher-order functions: ranked merges are folded over the bytes of distinct words by a literal map of ranks."""
+"""Byte-level BPE by Spark's higher-order functions: ranked merges are folded over the bytes of words by a literal map of ranks."""
 
 from __future__ import annotations
 
@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from mailloom.llm import store
 from mailloom.llm.tokenfile import PATTERN, VOCABULARY, ranks
 
-#: Of the distinct words, all of which are folded once, the most frequent ones, this many at most, are put into the plan; documents get the
-#: ids of all others by a join.  The ids are the same for any number of them.
-HEAD_WORDS = 1 << 17
+#: Of the distinct words that occur more than once, the most frequent ones, this many at most, are folded once and put into the plan, from
+#: which documents look them up; all others are folded where they stand.  The ids are the same for any number of them.
+HEAD_WORDS = 1 << 19
 #: Words of more bytes are first cut between bytes that no piece has side by side, and folded by all places of a pair at once.
 LONG = 64
-#: Distinct words that a task folds, about.
+#: Words of the head that a task folds, about.
 FOLDED = 1 << 15
 
 _NONE = 1 << 30
@@ -99,21 +99,8 @@ def _let(value: Column, use) -> Column:  # noqa: ANN001
     return F.transform(F.array(value), use)[0]
 
 
-def _cut(values: Column, ends: Column, skip: int, use) -> Column:  # noqa: ANN001
-    """use() of the runs of an array that end before the places `ends` (skip 1: which are left out) or at them (skip 0)."""
-
-    def run(end: Column, k: Column) -> Column:
-        start = F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1)
-        return use(F.slice(values, start + 1, end - start + (1 - skip)))
-
-    return F.transform(ends, run)
-
-
 class Codec:
-    """Encodes and decodes columns of a session by a vocabulary of at most 65,536 ranks.
-
-    head gives the ids of some words (word, key, Spark's 64-bit hash of it, and ids), which are then looked up; the word itself is compared.
-    """
+    """Encodes and decodes columns of a session by a vocabulary of at most 65,536 ranks."""
 
     def __init__(self, spark: SparkSession, vocabulary: str = VOCABULARY) -> None:
         self.spark, pieces = spark, ranks(vocabulary)
@@ -128,6 +115,7 @@ class Codec:
         numbers = [*pair_ranks(pieces), single, neighbour_bytes(pieces)]
         found = literals(spark, [*map(pa.array, numbers), pa.array(by_id), pa.array(signs)])
         self.shift, self.owner, self.ranks, self.calm, self.single, self.beside, self.pieces, self.signs = found
+        self.head: tuple[Column, Column, int] | None = None
 
     def words(self, text: Column) -> Column:
         """The pieces that merges don't cross."""
@@ -193,25 +181,33 @@ class Codec:
         def cut(b: Column) -> Column:
             place = F.transform(b, lambda x, i: i)
             ends = F.filter(place, lambda i: (i == F.size(b) - 1) | (F.get(self.beside, F.get(b, i) * 256 + F.get(b, i + 1)) == 0))
-            return _let(ends, lambda e: F.flatten(_cut(b, e, 0, part)))
+            start = lambda e, k: F.when(k == 0, 0).otherwise(F.get(e, k - 1) + 1)
+            return _let(ends, lambda e: F.flatten(F.transform(e, lambda end, k: part(F.slice(b, start(e, k) + 1, end - start(e, k) + 1)))))
 
         return F.when(F.octet_length(word) <= LONG, self._one_by_one(ids(chars))).otherwise(_let(chars, cut))
 
-    def lookup(self, head: pa.Table):  # noqa: ANN201
-        """A function of a column of words that gives the ids of those of the head (word, key and ids), null for the others."""
-        size = 1 << max(4, (2 * len(head)).bit_length())
+    def with_head(self, head: pa.Table) -> Codec:
+        """The same codec; it looks up the ids of some words (word, key, Spark's 64-bit hash of it, and ids), comparing the word itself."""
+        size = 1 << max(4, (2 * len(head) - 1).bit_length())
         at = place(head["key"].to_numpy(), size)
-        ids = head["ids"].combine_chunks() if len(head) else pa.array([], pa.list_(pa.int32()))
         where = pa.array(at, mask=at < 0)
-        names = (head["word"].combine_chunks() if len(head) else pa.array([], pa.string())).take(where).fill_null("")
-        lists = ids.take(where).cast(pa.list_(pa.int32()))
-        name, held = literals(self.spark, [names, lists])
-
-        def known(word: Column, key: Column) -> Column:
+        names, lists = head["word"].combine_chunks().take(where).fill_null(""), head["ids"].combine_chunks().take(where).cast(pa.list_(pa.int32()))
+        self.head = (*literals(self.spark, [names, lists]), size)
+        return self
+
+    def encode(self, text: Column) -> Column:
+        """Ids (array of int) of a text; null for a null text, none for an empty one."""
+        words = self.words(text)
+        if self.head is None:
+            return F.flatten(F.transform(words, self.fold))
+        name, held, size = self.head
+
+        def found(word: Column, key: Column) -> Column:
             one, two = (F.shiftrightunsigned(key, s).bitwiseAND(size - 1).cast("int") for s in _SHIFTS)
-            return F.when(F.get(name, one) == word, F.get(held, one)).when(F.get(name, two) == word, F.get(held, two))
+            known = F.when(F.get(name, one) == word, F.get(held, one)).when(F.get(name, two) == word, F.get(held, two))
+            return known.otherwise(self.fold(word))
 
-        return lambda words: F.zip_with(words, F.transform(words, lambda w: F.xxhash64(w)), known)
+        return F.flatten(F.zip_with(words, F.transform(words, lambda w: F.xxhash64(w)), found))
 
     def decode_binary(self, ids: Column) -> Column:
         """The concatenated binary pieces of ids; each piece's bytes are held as the characters of the same numbers."""
@@ -222,53 +218,32 @@ class Codec:
         return self.decode_binary(ids).cast("string")
 
 
-def folded_words(docs: DataFrame, codec: Codec, text_col: str = "text") -> DataFrame:
-    """word, n (how often it occurs), ids and whether they decode to the word, of each distinct word of all documents; a written table."""
-    words = docs.select(F.explode(codec.words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    words = store.written(words, "bpe-words")
-    parts = max(1, math.ceil(words.count() / FOLDED))
-    folded = words.repartition(parts).select("word", "n", codec.fold(F.col("word")).alias("ids"))
-    return store.written(folded.select("*", (codec.decode(F.col("ids")) == F.col("word")).alias("exact")), "bpe-folded")
-
+def head_words(docs: DataFrame, codec: Codec, text_col: str = "text", most: int = HEAD_WORDS) -> pa.Table:
+    """word, key and ids of the most frequent words of all documents, each folded once.
 
-def head_words(folded: DataFrame, most: int = HEAD_WORDS) -> tuple[DataFrame, pa.Table]:
-    """Which words are the head: those of the highest classes of frequency (64 for each doubling) that hold `most` words at most together."""
+    These are the words that occur twice at least and are in the highest classes of frequency (64 for each doubling) that hold `most`
+    words at most together, so no order of ties matters.
+    """
+    words = docs.select(F.explode(codec.words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    words = store.written(words, "bpe-words")
     level = F.floor(F.log2("n") * 64)
-    levels = folded.where("exact").groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).toArrow()
-    held = np.cumsum(levels["words"].to_numpy()) if len(levels) else np.zeros(0)
-    inside = int((held <= most).sum())
-    least = int(levels["level"][inside - 1].as_py()) if inside else 1 << 20
-    is_head = F.col("exact") & (level >= least)
-    return folded.where(~is_head), folded.where(is_head).select("word", F.xxhash64("word").alias("key"), "ids").toArrow()
+    levels = words.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).toArrow()
+    inside = int((np.cumsum(levels["words"].to_numpy()) <= most).sum()) if len(levels) else 0
+    if not inside:
+        return pa.table({"word": pa.array([], pa.string()), "key": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+    held = int(np.cumsum(levels["words"].to_numpy())[inside - 1])
+    head = words.where(level >= levels["level"][inside - 1].as_py()).repartition(max(1, math.ceil(held / FOLDED)))
+    return head.select("word", F.xxhash64("word").alias("key"), codec.fold(F.col("word")).alias("ids")).toArrow()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", most: int = HEAD_WORDS) -> DataFrame:
     """One row a document: doc_id, ids (array of int), n_tokens, and whether the ids decode to the very text.
 
-    Each distinct word of all documents is folded once.  Documents look up the `most` most frequent words in literals and get the ids of
-    the others by a join on the word, to which only ids and those words move, not texts.  A null text has nulls, an empty one no ids;
-    repeated rows are encoded each; other columns are left out.  Very long words are cut where no merge can cross (see LONG), so their
-    time grows with their length, unless they have few such places and many different merges.
+    A null text has nulls, an empty one no ids; repeated rows are encoded each; other columns are left out.  Very long words are cut where
+    no merge can cross (see LONG), so their time grows with their length, unless they have few such places and many different merges.
     """
     codec = Codec(docs.sparkSession, vocabulary)
-    folded = folded_words(docs, codec, text_col)
-    tail, head = head_words(folded, most)
-    lookup = codec.lookup(head)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), codec.words(F.col(text_col)).alias("words"))
-    rows = rows.select("doc_id", "text", "words", lookup(F.col("words")).alias("found"))
-    gaps = F.filter(F.transform("words", lambda w, i: i), lambda i: F.get("found", i).isNull())
-    rows = rows.select("*", (F.array_join("words", "") == F.col("text")).alias("covered"), gaps.alias("gaps"))
-    runs = _cut(F.col("found"), F.concat("gaps", F.array(F.size("words"))), 1, F.flatten)
-    rare = F.transform("gaps", lambda i: F.get("words", i))
-    # runs: the ids between the words that aren't in the head (rare), one more than those.
-    coded = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "covered", F.when(F.col("text").isNotNull(), runs).alias("runs"), rare.alias("rare"))
-    coded = store.written(coded, "bpe-coded")
-    some = F.size("rare") > 0
-    each = coded.where(some).select("row", F.posexplode("rare").alias("k", "word")).join(tail.select("word", "ids", "exact"), "word")
-    fills = each.groupBy("row").agg(F.bool_and("exact").alias("exact"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("fills"))
-    whole = coded.where(some).drop("rare").join(fills, "row")
-    filled = F.flatten(F.zip_with("runs", F.transform("fills", lambda x: x["ids"]), lambda a, b: F.when(b.isNull(), a).otherwise(F.concat(a, b))))
-    full = whole.select("doc_id", filled.alias("ids"), (F.col("covered") & F.col("exact")).alias("exact"))
-    plain = coded.where(~some | F.col("rare").isNull()).select("doc_id", F.get("runs", F.lit(0)).alias("ids"), F.col("covered").alias("exact"))
+    codec = codec.with_head(head_words(docs, codec, text_col, most))
+    coded = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), codec.encode(F.col(text_col)).alias("ids"))
     size = F.when(F.col("ids").isNotNull(), F.size("ids")).cast("bigint")
-    return full.unionByName(plain).select("doc_id", "ids", size.alias("n_tokens"), "exact")
+    return coded.select("doc_id", "ids", size.alias("n_tokens"), (codec.decode(F.col("ids")) == F.col("text")).alias("exact"))
