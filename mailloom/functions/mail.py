@@ -7,8 +7,9 @@ from binascii import Error as BadBase64
 from binascii import a2b_base64, a2b_qp
 from dataclasses import dataclass, field
 
-from mailloom.functions.payload import codec, decode_body, payload_text
-from mailloom.functions.text import ADDRESS_NEW, ADDRESS_OLD, SPAM_SCORE, SPAM_TAGS
+from mailloom.functions.charsets import codec
+from mailloom.functions.payload import TNEF_TYPES, decode_body, payload_text
+from mailloom.functions.text import SPAM_SCORE, SPAM_TAGS
 
 _ENCODED = re.compile(r"=\?([^?]*?)\?([qQbB])\?(.*?)\?=")
 _PARAMETER = re.compile(rb""";[\x00-\x20]*([^;=]*)(?:=[\x00-\x20]*((?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^;"'])*))?""")
@@ -35,20 +36,31 @@ def decode_header(raw: str | bytes) -> str:
     return "".join(d.decode("utf-8" if c is None else codec(c) or "utf-8", "mailloom-mixed") for d, c in out)
 
 
+_MARK = re.compile(r"[^<>\")\s]*@[-.a-zA-Z0-9]*")
+_QUOTED = re.compile(r'"((?:[^"\\]|\\.)*)"\s*<([^>]*)>')
+
+
 def split_address(header: str) -> tuple[str, str]:
-    """Address and name."""
-    if m := re.match(ADDRESS_NEW, header):
-        return m[3], m[1] or m[2] or ""
-    if m := re.match(ADDRESS_OLD, header):
-        return m[2], m[3] or m[1] or ""
+    """Address and name of a header: "name" <address>, name <address>, or address (name); without an address, the whole is the name."""
+    if quoted := _QUOTED.fullmatch(header):
+        return quoted[2], quoted[1]
+    start = header.find("<", header.rfind(">", 0, -1) + 1)
+    if header.endswith(">") and start >= 0:
+        return header[start + 1 : -1], header[:start].rstrip()
+    if found := _MARK.search(header):
+        rest = header[found.end() :].lstrip()
+        remark = rest[: rest.rfind(")") + 1] if rest.startswith("(") else ""
+        return found[0], remark or header[: found.start()]
     return "", header
 
 
 def decode_address(header: str) -> tuple[str, str]:
-    """Address and decoded name; an address that was encoded with the name is found too."""
-    addr, name = split_address(header.strip())
-    name = decode_header(name)
-    return split_address(name.strip()) if not addr and "@" in name else (addr, name)
+    """Address and decoded name.  Where there is no address, as it was encoded along with the name, the decoded name is split again."""
+    addr, raw = split_address(header.strip())
+    name = decode_header(raw)
+    if addr or "@" not in name:
+        return addr, name
+    return split_address(name.strip())
 
 
 def untag(text: str) -> str:
@@ -93,7 +105,7 @@ def _headers(block: bytes) -> list[tuple[str, bytes]]:
         line = line.rstrip(b"\r")
         if line[:1] in (b" ", b"\t"):
             if out:
-                out[-1] = (out[-1][0], out[-1][1] + b" " + line.lstrip(b"\t "))
+                out[-1] = (out[-1][0], out[-1][1] + line)
         elif not line:
             break
         else:
@@ -169,7 +181,7 @@ def best_text(part: Part) -> tuple[str | None, str]:
         if name == "subject":
             subject = untag(decode_header(value))
     for _, leaf in leaves(part):
-        if not (leaf.kind.startswith("text/") and leaf.disposition != "attachment" or leaf.kind in ("application/ics", "application/rtf")):
+        if not (leaf.kind.startswith("text/") and leaf.disposition != "attachment" or leaf.kind in ("application/ics", "application/rtf", *TNEF_TYPES)):
             continue
         new = payload_text(leaf.payload or b"", leaf.kind, leaf.charset)
         rich = leaf.kind == "text/html"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mailloom.functions import text as T
 from mailloom.functions.tokens import split_lossless
-from mailloom.session import written
+from mailloom.session import in_order, written
 
 
 def preview(text: Column) -> Column:
@@ -19,48 +19,76 @@ def preview(text: Column) -> Column:
 
 
 def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """word and id (from 1, in order of the words) of all words of a small reference table."""
+    """word and id (from 1, in order of the words) of all words of a reference table."""
     found = texts.select(F.explode(T.alnum_tokens(T.collapse(F.col(text_col)))).alias("word")).distinct()
-    return found.withColumn("id", F.row_number().over(W.orderBy("word")))
+    return in_order(found, ["word"], "vocabulary", "id").select("word", F.col("id").cast("int").alias("id"))
 
 
-def route_keys(mails: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """idx, short and keys of each message: of its words' ids (0 for unknown) the first 100 and the 6th to 100th; a message of fewer
-    than 10 tokens or 4 known words is short, and its key is its tokens."""
-    tokens = mails.select(F.col(id_col).alias("idx"), T.alnum_tokens(preview(F.col(text_col))).alias("tokens"))
-    each = tokens.select("idx", F.posexplode("tokens").alias("pos", "word"))
-    known = each.join(words, "word", "left").select("idx", "pos", F.coalesce("id", F.lit(0)).alias("id"))
-    ids = known.groupBy("idx").agg(F.count_if(F.col("id") > 0).alias("known"), F.collect_list(F.when(F.col("pos") < 100, F.struct("pos", "id"))).alias("head"))
-    both = tokens.join(ids, "idx", "left")
-    head = F.transform(F.array_sort("head"), lambda x: x["id"].cast("string"))
-    short = (F.coalesce("known", F.lit(0)) <= 3) | (F.size("tokens") < 10)
-    long_keys = F.array(F.concat_ws(" ", head), F.concat_ws(" ", F.slice(head, 6, 95)))
-    return both.select("idx", short.alias("short"), F.when(short, F.array(F.concat_ws(" ", "tokens"))).otherwise(long_keys).alias("keys"))
+#: Vocabularies of this many words at most become a set in the plan; larger ones are joined, with the same result.
+LISTED = 20_000
+
+
+def listed(words: DataFrame, most: int = LISTED) -> list[str] | None:
+    """The words of a vocabulary, or None if there are more than `most`."""
+    few = [r.word for r in words.select("word").where("word is not null").distinct().limit(most + 1).collect()]
+    return few if len(few) <= most else None
 
 
-def routes(mails: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _digest(key: Column) -> Column:
+    """What stands for a key in shuffles: its SHA-256, so texts don't move."""
+    return F.unhex(F.sha2(key, 256))
+
+
+def route_keys(mails: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LISTED) -> DataFrame:
+    """idx, short and keys (their digests) of each message: of its words (unknown ones alike) the first 100 and the 6th to 100th; a message
+    of fewer than 10 tokens or 4 known words is short, and its key is its tokens."""
+    tokens = mails.select(F.col(id_col).alias("idx"), T.alnum_tokens(preview(F.col(text_col))).alias("tokens"))
+    few = listed(words, most)
+    if few is not None:
+        known = lambda t: t.isin(few) if few else F.lit(False)
+        both = tokens.withColumn("known", F.size(F.filter("tokens", known)))
+        both = both.withColumn("head", F.transform(F.slice("tokens", 1, 100), lambda t: F.when(known(t), t).otherwise("-")))
+    else:
+        each = tokens.select("idx", F.posexplode("tokens").alias("pos", "word")).join(words.select("word"), "word")
+        found = each.groupBy("idx").agg(F.count("*").alias("known"), F.collect_list(F.when(F.col("pos") < 100, F.struct("pos", "word"))).alias("at"))
+        both = tokens.join(found, "idx", "left").withColumn("known", F.coalesce("known", F.lit(0)))
+        at = F.map_from_entries(F.coalesce("at", F.array().cast("array<struct<pos: int, word: string>>")))
+        both = both.withColumn("head", F.transform(F.slice("tokens", 1, 100), lambda t, k: F.coalesce(F.element_at(at, k), F.lit("-"))))
+    short = (F.col("known") <= 3) | (F.size("tokens") < 10)
+    # Keys of words and of tokens are told apart by their first character.
+    long_keys = F.array(_digest(F.concat_ws(" ", F.lit("#"), "head")), _digest(F.concat_ws(" ", F.lit("#"), F.slice("head", 6, 95))))
+    return both.select("idx", short.alias("short"), F.when(short, F.array(_digest(F.concat_ws(" ", "tokens")))).otherwise(long_keys).alias("keys"))
+
+
+def routes(mails: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LISTED) -> DataFrame:
     """idx, seen and route (dup, out or short) of each message, in order of idx, which must be distinct.
 
     A key counts as seen if an earlier message has it, as keys are kept whatever becomes of their message.  A null text is an empty one.
+    Texts are read once; what moves are digests of the keys, and the first message of a key is found by an aggregate, so a key that a
+    large share of all messages has is no group of rows in one task.
     """
-    each = route_keys(mails, words, id_col, text_col).select("idx", "short", F.explode("keys").alias("key"))
-    seen = each.withColumn("before", F.min("idx").over(W.partitionBy("key")) < F.col("idx"))
-    flags = seen.groupBy("idx").agg(F.first("short").alias("short"), F.bool_or("before").alias("seen"))
+    keyed = written(route_keys(mails, words, id_col, text_col, most), "route-keys")
+    each = keyed.select("idx", "short", F.explode("keys").alias("key"))
+    first = each.groupBy("key").agg(F.min("idx").alias("first"))
+    flags = each.join(first, "key").groupBy("idx").agg(F.first("short").alias("short"), F.bool_or(F.col("first") < F.col("idx")).alias("seen"))
     return flags.select("idx", "seen", F.when(F.col("seen"), "dup").when(F.col("short"), "short").otherwise("out").alias("route"))
 
 
-def by_key(rows: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+def by_key(rows: DataFrame, key: Column, id_col: str = "doc_id", skip: Column | None = None) -> DataFrame:
     """idx, base (the least idx with the same key), group_size and pointer (base of a duplicate, -group_size of a base).
 
-    A null or empty key is unique.
+    A null or empty key is unique.  Rows that `skip` holds for (deleted ones) neither have nor are duplicates: base, group_size and pointer
+    are null.  Keys are worked out once and move as digests; groups are aggregated before they are joined to their rows.
     """
-    keyed = rows.select(F.col(id_col).alias("idx"), F.when(key != "", key).alias("key"))
-    some = keyed.where("key is not null")
-    group = W.partitionBy("key")
-    found = some.select("idx", F.min("idx").over(group).alias("base"), F.count("*").over(group).alias("group_size"))
-    alone = keyed.where("key is null").select("idx", F.col("idx").alias("base"), F.lit(1).cast("bigint").alias("group_size"))
-    pointer = F.when(F.col("base") == F.col("idx"), -F.col("group_size")).otherwise(F.col("base"))
-    return found.unionByName(alone).withColumn("pointer", pointer)
+    gone = F.lit(False) if skip is None else F.coalesce(skip, F.lit(False))
+    own = F.encode(F.col("idx").cast("string"), "UTF-8")
+    keyed = rows.select(F.col(id_col).alias("idx"), gone.alias("gone"), key.alias("key"))
+    keyed = written(keyed.select("idx", "gone", F.when(F.col("key") != "", _digest(F.col("key"))).otherwise(own).alias("key")), "dedup-keys")
+    groups = keyed.where("not gone").groupBy("key").agg(F.min("idx").alias("base"), F.count("*").alias("group_size"))
+    found = keyed.where("not gone").join(groups, "key").select("idx", "base", "group_size")
+    found = found.withColumn("pointer", F.when(F.col("base") == F.col("idx"), -F.col("group_size")).otherwise(F.col("base")))
+    none = F.lit(None).cast("bigint")
+    return found.unionByName(keyed.where("gone").select("idx", *(none.alias(c) for c in ("base", "group_size", "pointer")))) if skip is not None else found
 
 
 def console_key(mode: int, text: Column, known: Column | None = None) -> Column:
@@ -77,9 +105,12 @@ def console_key(mode: int, text: Column, known: Column | None = None) -> Column:
     return F.concat_ws(" ", F.slice(parts, 1, 100) if mode == 5 else F.slice(parts, 11, 90))
 
 
-def known_words(rows: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with the words of their scrubbed text that are in a vocabulary, in order (known)."""
+def known_words(rows: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LISTED) -> DataFrame:
+    """The rows with the words of their scrubbed text that are in a vocabulary, in order (known); ids must be distinct if it is large."""
     line = F.lower(T.scrub(T.collapse(F.coalesce(F.col(text_col), F.lit("")))))
+    few = listed(words, most)
+    if few is not None:
+        return rows.withColumn("known", F.filter(T.words(line), lambda t: t.isin(few) if few else F.lit(False)))
     each = rows.select(F.col(id_col).alias("_i"), F.posexplode(T.words(line)).alias("pos", "word"))
     found = each.join(words.select("word"), "word", "left_semi").groupBy("_i").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("found"))
     joined = rows.join(found, rows[id_col] == found["_i"], "left")

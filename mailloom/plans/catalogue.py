@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailloom.functions import text as T
 from mailloom.operators import dedup, lookup, metrics, model, search, training
 from mailloom.plans import parsing
+from mailloom.session import in_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -156,7 +156,7 @@ _mapped("word_tokens", "documents", "doc_id", lambda c: F.concat_ws("|", T.words
 
 @query(f"SELECT doc_id, CAST(len({BLANK}) AS BIGINT) AS n_words, length({LINE}) - length(regexp_replace({LINE}, '{T.LATIN}', '', 'g')) AS n_latin, length({LINE}) - length(regexp_replace({LINE}, '{T.BEYOND}', '', 'g')) AS n_beyond, length({LINE}) - length(regexp_replace({LINE}, '{T.CJK}', '', 'g')) AS n_cjk FROM documents".replace(BLANK, f"list_filter(string_split({LINE}, ' '), lambda t: t <> '')"))
 def char_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = search.numbers(T.collapse(F.col("text")))
+    n = search.numbers(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", n["w"].alias("n_words"), n["l"].alias("n_latin"), n["L"].alias("n_beyond"), n["j"].alias("n_cjk"))
 
 
@@ -266,7 +266,7 @@ def vocab_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT word, max(id) AS id FROM (SELECT string_split(text, ' ')[1] AS word, row_number() OVER (ORDER BY item_id) AS id FROM benchmark) GROUP BY word")
 def vocab_by_line_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select(F.split("text", " ")[0].alias("word"), F.row_number().over(W.orderBy("item_id")).cast("bigint").alias("id"))
+    rows = in_order(table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ")[0].alias("word")), ["item_id"], "lines", "id")
     return rows.groupBy("word").agg(F.max("id").alias("id"))
 
 
