@@ -287,11 +287,64 @@ token = get_token()
 """
 
 
+#: Texts and the literals that are to be found.
+SYNTAX = [
+    ('password = "correct horse battery staple"', ["correct horse battery staple"]),
+    ('{"%s_password": "Zk39fjw0Zk39"}' % ("x" * 90), ["Zk39fjw0Zk39"]),
+    ('api_key = "wJalrXUtnFEMIexampleKEY99"', ["wJalrXUtnFEMIexampleKEY99"]),
+    ('def f():\n    x="Zk39fjw0qq"\ndef g():\n    x=None\n    password=x\n', []),
+    ('def f():\n    x="Zk39fjw0qq"\n    password=x\n', ["Zk39fjw0qq"]),
+    ('x = "Zk39fjw0qq"\nx = f()\npassword = x', []),
+    ('function f(){ var k="Zk39fjw0qq"; } secret = k;', []),
+    ('if (a) { k="Zk39fjw0qq"; } secret = k;', ["Zk39fjw0qq"]),
+    ('password = getenv("X") or "Zk39fjw0qq"', ["Zk39fjw0qq"]),
+    ('password = os.environ.get("PASSWORD", "Zk39fjw0qq")', ["Zk39fjw0qq"]),
+    ('secret = c ? "Zk39fjw0qq" : "Qq39fjw0zz"', ["Zk39fjw0qq", "Qq39fjw0zz"]),
+    ('secret = "Zk39fjw0qq" if c else "Qq39fjw0zz"', ["Zk39fjw0qq", "Qq39fjw0zz"]),
+    ("DB_PASSWORD=SuperSecretPassphrase\n", ["SuperSecretPassphrase"]),
+    ("db:\n  password: SuperSecretPassphrase\n", ["SuperSecretPassphrase"]),
+    ("Authorization: Bearer eyJhbGciOi.J9x.Zz\n", ["eyJhbGciOi.J9x.Zz"]),
+    ('// password = "Zk39fjw0qq"\n', ["Zk39fjw0qq"]),
+    ("don't use password = 'Zk39fjw0qq' ok", ["Zk39fjw0qq"]),
+    ('password: "Password must be at least 8 characters"', []),
+    ('password = input("Password: ")', []),
+    ('<add key="ApiKey" value="Zk39fjw0qq11"/>', ["Zk39fjw0qq11"]),
+    ('$password = "Zk39aa" . "fjw0qq";', ["Zk39aa", "fjw0qq"]),
+    ("The key: value pairs, a token: it is prose. Password = nothing", []),
+]
+
+
+def test_long_and_nested_sources():
+    for text in ('x = "a1b2c3d4e5";\n' * 20000, "`" + '"' * 100001 + "\'\'\'" * 3000 + '("' * 5000 + "{" * 30000 + ")" * 3000, "(a{" * 20000, "password = " * 20000, "password = (" * 20000):
+        whole = text + "\npassword=a1b2c3d4e5"
+        assert [whole[a : a + c] for _, _, a, c, _ in secretscan.findings(whole)][-1:] in ([], ["a1b2c3d4e5"])
+
+
+def test_generated_assignments():
+    """A generator that knows what it writes stands for a brute-force version: each sensitive name's literal is found, no other."""
+    rng = np.random.default_rng(13)
+    letters = list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789")
+    forms = ['{n} = "{v}"', "{n} := '{v}'", '"{n}": "{v}",', "export {n}={v}", "<{n}>{v}</{n}>", "{n}: {v}", "x['{n}'] = \"{v}\"", "const {n} = `{v}`;", 'c{k} = "{v}"\n{n} = c{k}', 'c{k} = "{v}"\nc{k} = g()\n{n} = c{k}']
+    for _ in range(60):
+        lines, want = [], []
+        for k in range(int(rng.integers(1, 12))):
+            value, form = "".join(rng.choice(letters, 16)) + "7", int(rng.integers(0, len(forms)))
+            secret = rng.random() < 0.5
+            name = str(rng.choice(["password", "api_key", "AUTH_TOKEN", "client_secret", "dbPasswd"] if secret else ["colour", "max_tokens", "user_name", "password_hint", "monkey_island"]))
+            lines.append(forms[form].format(n=name, v=value, k=k))
+            if secret and form != len(forms) - 1:
+                want.append(value)
+        text = "\n".join(lines)
+        assert sorted(text[a : a + c] for _, _, a, c, _ in secretscan.findings(text)) == sorted(want), text
+
+
 def test_secrets(spark, odd, none):
     found = [(n, CODE[a : a + c]) for n, _, a, c, _ in secretscan.findings(CODE)]
     literals = {x for _, x in found}
     assert {"q7Zp92LmXc81VbTq", "Zk39fjw0", "LLq81mzpw", "a8f7d6e5c4b3a291", "9f8e7d6c5b4a39281706", "GHq8-29ax-P0dk-mm31", "wJalrXUtnFEMIK7MDENGbPxRfiCY"} <= literals
     assert not {"changeme", "1234567890abcdef", "short", "get_token()"} & literals
+    for text, want in SYNTAX:
+        assert [text[a : a + c] for _, _, a, c, _ in secretscan.findings(text)] == want, text
     rows = spark.createDataFrame([(1, CODE, 5), (1, CODE, 5), (2, None, None), (3, "", 0), (4, "plain prose: nothing here", 25)], "doc_id bigint, text string, n_chars int")
     assert secretscan.secrets(rows).count() == 2 * len(found)
     after = {r.doc_id: r for r in secretscan.redact(rows).collect()}
