@@ -18,11 +18,11 @@ _PARAMETER = re.compile(rb""";[\x00-\x20]*([^;=]*)(?:=[\x00-\x20]*((?:"[^"]*(?:"
 def decode_header(raw: str | bytes) -> str:
     """A header's text with its encoded words decoded; neighbours of one character set are joined before, and the blanks between them go."""
     text = raw.decode("utf-8", "mailloom-mixed") if isinstance(raw, bytes) else raw
-    out: list[tuple[bytes, str | None]] = []
+    out: list[tuple[list[bytes], str | None]] = []
     pieces = _ENCODED.split(text)
     for k in range(0, len(pieces), 4):
         if pieces[k] and not pieces[k].isspace():
-            out.append((pieces[k].encode("utf-8", "surrogatepass"), None))
+            out.append(([pieces[k].encode("utf-8", "surrogatepass")], None))
         if k + 3 < len(pieces):
             label, how, coded = pieces[k + 1].lower(), pieces[k + 2].lower(), pieces[k + 3]
             try:
@@ -30,10 +30,10 @@ def decode_header(raw: str | bytes) -> str:
             except (BadBase64, ValueError):
                 continue
             if out and out[-1][1] == label:
-                out[-1] = (out[-1][0] + data, label)
+                out[-1][0].append(data)
             else:
-                out.append((data, label))
-    return "".join(d.decode("utf-8" if c is None else codec(c) or "utf-8", "mailloom-mixed") for d, c in out)
+                out.append(([data], label))
+    return "".join(b"".join(d).decode("utf-8" if c is None else codec(c) or "utf-8", "mailloom-mixed") for d, c in out)
 
 
 _MARK = re.compile(r"[^<>\")\s]*@[-.a-zA-Z0-9]*")

@@ -55,6 +55,20 @@ def normalize(text: str, charmap: dict[str, str] | None = None, unmapped: str =
     return " ".join(text.split())
 
 
+def join_pair(subject: str | None, body: str | None) -> str:
+    """A subject and a body as the one text that is scored."""
+    return f"{subject or ''}|\n{body or ''}"
+
+
+def corpus_text(text: str, charmap: dict[str, str]) -> str:
+    """A line of a corpus of vectors: as normalize(), but look-alikes are replaced only where a character from U+0400 on is in the text, and
+    characters that aren't mapped become blanks."""
+    if max(text, default="") < "\u0400":
+        text = unicodedata.normalize("NFKC", text)
+        return " ".join("".join("" if c in INVISIBLE else c if c.isspace() else charmap.get(c, " ") for c in text).split())
+    return normalize(text, charmap, " ")
+
+
 def char_width(c: str) -> int:
     """Columns that a character takes: 0 if invisible, 2 if wide, -1 for a control character."""
     if c in INVISIBLE:

@@ -18,7 +18,8 @@ def ip_number(ip: Column) -> Column:
     """The number of a dotted address; null if it isn't one."""
     parts = F.split(ip, r"\.")
     number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + x.try_cast("bigint"))
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), number)
+    small = F.forall(parts, lambda x: x.try_cast("int") < 256)
+    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & small, number)
 
 
 def in_ranges(rows: DataFrame, number: str, ranges: DataFrame) -> DataFrame:
@@ -32,6 +33,25 @@ def in_ranges(rows: DataFrame, number: str, ranges: DataFrame) -> DataFrame:
     return left.join(by_block, (F.col("_b") == F.col("_block")) & F.col(number).between(F.col("low"), F.col("high")), "left").drop("_b", "_block")
 
 
+def grey_address(header: Column) -> Column:
+    """The address that a header of greylisting names: what follows its first ip=, up to a parenthesis; null if it names none."""
+    return F.when(header.contains("ip="), F.split_part(F.substr(header, F.instr(header, F.lit("ip=")) + 3), F.lit(")"), F.lit(1)))
+
+
+#: Names of countries that are shortened.
+SHORT_NAMES = {"United States of America": "U.S.A.", "United Kingdom of Great Britain and Northern Ireland": "U.K."}
+
+
+def grey_label(header: Column, continent: Column, country: Column, organisation: Column) -> Column:
+    """How a list shows a header of greylisting: continent/country/organisation of its address, if that was found (a continent that isn't
+    null), else the address, else the header's first word; ??? without a header."""
+    short = country
+    for long, brief in SHORT_NAMES.items():
+        short = F.when(country == long, brief).otherwise(short)
+    place = F.when(continent.isNotNull(), F.concat(continent, F.lit("/"), F.coalesce(short, F.lit("")), F.lit("/"), F.coalesce(organisation, F.lit(""))))
+    return F.when(header.isNull(), "???").otherwise(F.coalesce(place, grey_address(header), F.split_part(F.trim(header), F.lit(" "), F.lit(1))))
+
+
 def differences(before: Column, after: Column) -> Column:
     """The runs of tokens that two texts share or not: an array of op (equal, insert, delete), and text; null if either is."""
     kind = pa.list_(pa.struct([("op", pa.string()), ("text", pa.string())]))

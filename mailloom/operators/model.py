@@ -38,10 +38,14 @@ def fresh(vocabulary: int, dims: int = 64, seed: int = 0) -> dict[str, np.ndarra
 def logits(ids: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     """Two logits for each row of ids: convolutions of several widths, their maxima over the row, and two layers."""
     x = w["ids"][ids]
-    tops = []
+    dims, tops = x.shape[2], []
     for k in KERNELS:
-        spans = np.lib.stride_tricks.sliding_window_view(x, k, axis=1).transpose(0, 1, 3, 2).reshape(len(x), x.shape[1] - k + 1, -1)
-        tops.append((spans @ w[f"conv{k}"]).max(1) + w[f"bias{k}"])
+        # A place's part by each row of a kernel, moved to where the kernel begins, and added up.
+        parts = (x.reshape(-1, dims) @ w[f"conv{k}"].reshape(k, dims, FILTERS).transpose(1, 0, 2).reshape(dims, -1)).reshape(len(x), x.shape[1], k, FILTERS)
+        total = parts[:, : x.shape[1] - k + 1, 0]
+        for j in range(1, k):
+            total = total + parts[:, j : x.shape[1] - k + 1 + j, j]
+        tops.append(total.max(1) + w[f"bias{k}"])
     h = np.maximum(np.maximum(np.concatenate(tops, 1), 0) @ w["w1"] + w["b1"], 0)
     return h @ w["w2"] + w["b2"]
 
@@ -102,6 +106,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         return pa.table([pa.array(np.concatenate(x)) for x in out], ["query", "vec_id", "cosine"])
 
     found = both[0].unionByName(both[1]).groupBy("a", "b").applyInArrow(run, "query bigint, vec_id bigint, cosine double")
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("cosine", 9)).alias("c"), "vec_id"))), 1, k)
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("cosine", 9)).alias("c"), "vec_id", "cosine"))), 1, k)
     each = found.groupBy("query").agg(top.alias("top")).select("query", F.posexplode("top").alias("rank", "t"))
-    return each.select("query", (F.col("rank") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), F.round(-F.col("t.c"), 6).alias("cosine"))
+    return each.select("query", (F.col("rank") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), F.round("t.cosine", 6).alias("cosine"))

@@ -21,6 +21,16 @@ def numbers(text: Column) -> dict[str, Column]:
     return {"w": F.regexp_count(line, F.lit(T.NOT_WS)).cast("bigint"), "l": T.count_of(line, T.LATIN), "L": T.count_of(line, T.BEYOND_TEXT), "j": T.count_of(line, T.CJK)}
 
 
+def vocabulary_count(text: Column, words: list[str]) -> Column:
+    """How many of a text's words are in a vocabulary (the quantity v)."""
+    return F.size(F.filter(T.words(F.lower(F.coalesce(text, F.lit("")))), lambda t: t.isin(words) if words else F.lit(False))).cast("bigint")
+
+
+def group_size(pointer: Column, size: Column) -> Column:
+    """The quantity h: minus the size of its group for a base, the size of the group for a duplicate."""
+    return F.when(pointer < 0, pointer).otherwise(size)
+
+
 def predicate(query: str, fields: dict[str, Column], quantities: dict[str, Column]) -> Column:
     """The condition of a query: FIELDS:value (any of the fields, named by letters, contains the value; capitals compare in lower case
     and turn the value so), LETTER, an operator of < <= = >= > and a whole number, or a value alone, which is looked for in the fields S and F.
@@ -84,9 +94,25 @@ def combine(flags: Column, shown: Column, how: str, only_selected: bool = False)
 
 
 def toggled(flags: Column, bit: int) -> Column:
+    """Flags with a bit turned."""
     return flags.bitwiseXOR(F.lit(bit))
 
 
+def marked_deleted(flags: Column, shown: Column) -> Column:
+    """Flags with the shown messages marked as deleted; the mailbox isn't touched."""
+    return F.when(shown, flags.bitwiseOR(F.lit(DELETED))).otherwise(flags)
+
+
+def any_set(flags: Column) -> Column:
+    """Aggregate: whether any message has a flag."""
+    return F.coalesce(F.bool_or(flags != 0), F.lit(False))
+
+
+def sender(mode: int, addr: Column, name: Column) -> Column:
+    """A sender as a list shows it: 0 the address, 1 the name, 2 both."""
+    return (addr, name, F.concat(name, F.lit("  <"), addr, F.lit(">")))[mode]
+
+
 def page(rows: DataFrame, start: int, count: int, order: str = "doc_id") -> DataFrame:
     """A page of a list."""
     return rows.orderBy(order).offset(start).limit(count)
@@ -95,3 +121,13 @@ def page(rows: DataFrame, start: int, count: int, order: str = "doc_id") -> Data
 def following(rows: DataFrame, after: int, order: str = "doc_id") -> DataFrame:
     """The next row after a place, or none."""
     return rows.where(F.col(order) > after).orderBy(order).limit(1)
+
+
+def preceding(rows: DataFrame, before: int, order: str = "doc_id") -> DataFrame:
+    """The last row before a place, or none."""
+    return rows.where(F.col(order) < before).orderBy(F.desc(order)).limit(1)
+
+
+def at_line(rows: DataFrame, number: int, order: str = "doc_id") -> DataFrame:
+    """The row of a number, or none."""
+    return rows.where(F.col(order) == number)

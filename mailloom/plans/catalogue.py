@@ -1,6 +1,6 @@
 """All queries over the driver's tables, and DuckDB's SQL for those that SQL can express.
 
-A message is a row of documents, its subject the text's first 80 characters, its sender source and language; flags follow from doc_id.
+A message is a row of documents, its subject the text's first line, its sender source and language; flags follow from doc_id.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.functions import text as T
-from mailloom.operators import dedup, lookup, metrics, model, search, training
-from mailloom.plans import parsing
+from mailloom.operators import dedup, embedding, lookup, metrics, model, search, training
+from mailloom.plans import messages, parsing
 from mailloom.session import in_order
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,7 +167,7 @@ def _mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     bit = lambda m, b: F.when(F.col("doc_id") % m == 0, b).otherwise(0)
     flags = bit(3, search.SELECTED) + bit(11, search.DELETED) + bit(7, search.EXTRA)
     sender = F.concat_ws("@", "source", "lang")
-    return docs(spark, sf_dir).select("doc_id", "text", F.substring("text", 1, 80).alias("subject"), sender.alias("sender"), F.col("n_chars"), flags.alias("flags"))
+    return docs(spark, sf_dir).select("doc_id", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("subject"), sender.alias("sender"), F.col("n_chars"), flags.alias("flags"))
 
 
 def _match(text: str) -> Column:
@@ -175,7 +175,7 @@ def _match(text: str) -> Column:
     return search.predicate(text, fields, search.numbers(F.col("text")) | {"s": F.col("n_chars"), "d": (F.col("doc_id") * 37) % 1001})
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(substring(text, 1, 80)), 'the') OR contains(lower(concat_ws('@', source, lang)), 'the')")
+@query("SELECT doc_id FROM documents WHERE contains(lower(split_part(text, chr(10), 1)), 'the') OR contains(lower(concat_ws('@', source, lang)), 'the')")
 def search_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mails(spark, sf_dir).where(_match("The")).select("doc_id")
 
@@ -190,7 +190,7 @@ def search_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mails(spark, sf_dir).where(_match("w>=300") & _match("d<500")).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id > 100 AND contains(lower(substring(text, 1, 80)), 'the') ORDER BY doc_id LIMIT 1")
+@query("SELECT doc_id FROM documents WHERE doc_id > 100 AND contains(lower(split_part(text, chr(10), 1)), 'the') ORDER BY doc_id LIMIT 1")
 def search_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.following(_mails(spark, sf_dir).where(_match("S:the")), 100).select("doc_id")
 
@@ -257,11 +257,12 @@ def vocab_inner_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", F.concat_ws(" ", F.transform("x", lambda s: s["id"].cast("string"))).alias("ids"))
 
 
-@query(f"WITH {VOCABULARY} SELECT word, coalesce(CAST(embedding[1] AS DOUBLE), 0) AS first, vec_id IS NULL AS missing FROM vocabulary LEFT JOIN embeddings ON vec_id = id * 3")
+@query(f"WITH {VOCABULARY} SELECT word, generate_subscripts(v, 1) - 1 AS place, CAST(unnest(v) AS DOUBLE) AS x, missing FROM (SELECT word, coalesce(embedding, list_transform(range(64), lambda k: CAST(0 AS FLOAT))) AS v, vec_id IS NULL AS missing FROM vocabulary LEFT JOIN embeddings ON vec_id = id * 3)")
 def vocab_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    joined = _words(spark, sf_dir).join(vectors, F.col("id") * 3 == vectors["vec_id"], "left")
-    return joined.select("word", F.coalesce(F.col("embedding")[0].cast("double"), F.lit(0.0)).alias("first"), F.col("vec_id").isNull().alias("missing"))
+    words = _words(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").join(words, F.col("id") * 3 == F.col("vec_id")).select("word", F.col("embedding").alias("vec"))
+    filled = embedding.merged(words, vectors, 64).select("word", "missing", F.posexplode("vec").alias("place", "x"))
+    return filled.select("word", F.col("place").cast("bigint").alias("place"), F.col("x").cast("double").alias("x"), "missing")
 
 
 @query("SELECT word, max(id) AS id FROM (SELECT string_split(text, ' ')[1] AS word, row_number() OVER (ORDER BY item_id) AS id FROM benchmark) GROUP BY word")
@@ -317,9 +318,9 @@ def accuracy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.accuracy_loss(_scored(spark, sf_dir).withColumnRenamed("score", "p0"))
 
 
-@query("SELECT CAST(floor(n_chars * 128.0 / 20000) AS INTEGER) AS bin, count(*) AS n FROM documents WHERE n_chars < 20000 GROUP BY 1")
+@query("SELECT CAST(floor(n_chars / 131072.0) AS INTEGER) AS bin, count(*) AS n FROM documents GROUP BY 1")
 def histogram_128(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.histogram(docs(spark, sf_dir), F.col("n_chars"), 0.0, 20000.0)
+    return metrics.histogram(docs(spark, sf_dir), F.col("n_chars"), 0.0, 128 * 131072.0)
 
 
 @query("""WITH v AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), s AS (SELECT count(*) AS n, stddev_samp(x) AS sd FROM v)
@@ -348,14 +349,8 @@ def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT query, CAST(rank AS INTEGER) AS rank, vec_id, round(c, 6) AS cosine FROM (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c,
-row_number() OVER (PARTITION BY q.vec_id ORDER BY round(c, 9) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < 20) WHERE rank <= 10""")
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round(c, 9) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id) WHERE rank <= 10""")
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return model.nearest(vectors, vectors.where("vec_id < 20"))
-
-
-@query()
-def nearest_vectors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return model.nearest(vectors, vectors)
 
@@ -393,6 +388,7 @@ def trained_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOUND |= parsing.QUERIES
+_FOUND |= messages.queries(_ROUTES)
 
 
 def queries() -> dict[str, Query]:

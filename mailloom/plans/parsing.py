@@ -11,7 +11,8 @@ from mailloom.functions import tokens
 from mailloom.functions.html import declared_charset, html_text
 from mailloom.functions.mail import decode_header
 from mailloom.functions.payload import payload_text
-from mailloom.operators import dedup, model
+from mailloom.operators import dedup, embedding, model
+from mailloom.session import in_order
 from mailloom.sources import mailbox
 from mailloom.streaming import sessions
 
@@ -72,7 +73,9 @@ def best_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = F.concat(F.lit("=?utf-8?B?"), F.replace(F.base64(F.encode(F.substring("text", 1, 40), "utf-8")), F.lit("\r\n"), F.lit("")), F.lit("?="))
+    """Whole texts as encoded words of up to 30 characters, one after the other."""
+    word = lambda t: F.concat(F.lit("=?utf-8?B?"), F.replace(F.base64(F.encode(t, "utf-8")), F.lit("\r\n"), F.lit("")), F.lit("?="))
+    coded = F.array_join(F.transform(F.regexp_extract_all("text", F.lit("(?s).{1,30}"), F.lit(0)), word), " ")
     return _docs(spark, sf_dir).select("doc_id", each(decode_header, coded).alias("header"))
 
 
@@ -96,8 +99,12 @@ def preprocess_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = each(lambda x: sum(map(tokens.char_width, x)), F.col("text"), "bigint", pa.int64())
-    return _docs(spark, sf_dir).select("doc_id", wide.alias("width"))
+    return _docs(spark, sf_dir).select("doc_id", T.display_width(F.col("text")).alias("width"))
+
+
+WIDTH_SQL = "SELECT doc_id, length(text) " + " ".join(f"{sign} (length(text) - length(regexp_replace(text, '{c}', '', 'g'))) * {n}" for sign, n, c in (("-", 1, T.INVISIBLE_CLASS), ("-", 2, T.CONTROL), ("+", 1, T.WIDE))) + " AS width FROM documents"
+LOSSLESS_SQL = f"SELECT doc_id, CAST(2 * len(regexp_extract_all(text, '{T.WORD}')) + CASE WHEN regexp_matches(text, '{T.WORD}$') THEN 0 ELSE 1 END AS BIGINT) AS n, true AS exact FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL"
+PARTS_SQL = "SELECT page_id AS idx, '0' AS place, 'text/plain' AS kind, NULL AS charset, 5 AS size FROM pages UNION ALL SELECT page_id, '1', 'text/html', 'utf-8', strlen(html) FROM pages"
 
 
 def session_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,16 +133,21 @@ STREAM_SESSION_SQL = "SELECT conv_id AS conn_id, string_agg(concat_ws(': ', role
 
 
 def cnn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.transform(T.alnum_tokens(F.col("text")), lambda t: (F.pmod(F.xxhash64(t), F.lit(4095)) + 1).cast("int"))
-    return model.scores(_docs(spark, sf_dir).select("doc_id", ids.alias("ids")), model.fresh(4096), "doc_id", "ids")
+    """Scores by seeded weights of the surveyed sizes, over subword ids."""
+    from mailloom.operators.subwords import piece_ids
+    from mailloom.plans.messages import PIECES
 
+    return model.scores(_docs(spark, sf_dir).select("doc_id", piece_ids(F.col("text"), PIECES).alias("ids")), model.fresh(32_000, 256), "doc_id", "ids")
 
-def word2vec_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.feature import Word2Vec
 
-    lines = _docs(spark, sf_dir).select(T.alnum_tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    fitted = Word2Vec(vectorSize=32, windowSize=10, minCount=5, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(lines)
-    return fitted.findSynonyms(fitted.getVectors().orderBy("word").first()["word"], 10)
+def word2vec_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest words of every word of the benchmark's texts, by vectors of the surveyed sizes."""
+    lines = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(T.alnum_tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    vectors = in_order(embedding.word_vectors(embedding.fit(lines)), ["word"], "word-vectors", "id")
+    near = model.nearest(vectors, vectors, id_col="id", vec_col="vec")
+    names = vectors.select("id", "word")
+    found = near.join(names.toDF("query", "word"), "query").join(names.toDF("vec_id", "neighbour"), "vec_id")
+    return found.select("word", "rank", "neighbour", "cosine")
 
 
 QUERIES = {
@@ -144,14 +156,14 @@ QUERIES = {
         (html_texts, None),
         (html_payload, None),
         (html_charset, CHARSET_SQL),
-        (mime_parts, None),
+        (mime_parts, PARTS_SQL),
         (best_text, None),
-        (header_decode, "SELECT doc_id, substring(text, 1, 40) AS header FROM documents"),
+        (header_decode, "SELECT doc_id, text AS header FROM documents"),
         (address_split, "SELECT doc_id, lang || '@x.org' AS addr, source AS name FROM documents"),
-        (split_lossless, None),
+        (split_lossless, LOSSLESS_SQL),
         (tokens_v1, None),
         (preprocess_v2, None),
-        (display_width, None),
+        (display_width, WIDTH_SQL),
         (session_assemble, SESSION_SQL),
         (stream_dedup, STREAM_SQL),
         (stream_sessions, STREAM_SESSION_SQL),

@@ -1,48 +1,152 @@
-"""Sources and sinks: mailboxes, labelled lines, vocabularies, character maps, word vectors."""
+"""Sources: mailboxes, labelled lines, vocabularies, character maps, word vectors."""
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailloom.functions import mail
+from mailloom.session import in_order
 
 
-def mailbox(spark: SparkSession, path: str) -> DataFrame:
-    """path, part (a number that grows with the place in a file) and raw (binary) of each message of mailbox files, read in splits.
+#: Bytes of a file that one task looks for messages in, and that are read at once.
+SPLIT, STEP = 64 << 20, 8 << 20
+#: Rows of messages in a batch hold about this many bytes.
+BATCH = 16 << 20
 
-    A message begins at a line that starts with "From "; such a line within a header is one too.
+_EVENT = re.compile(rb"\n(?=From |\r*\n)")
+_EVENT_BLANK = re.compile(rb"\n(?=From |[ \t\r\x0b\x0c]*\n)")
+_MESSAGE = "path string, fpos bigint, size bigint, raw binary"
+
+
+def _files(path: str) -> list[tuple[str, int]]:
+    """The URI and size of a file, or of those in a folder, in order of their names."""
+    system, root = FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    scheme = path.split("://")[0] if "://" in path else "file"
+    info = system.get_file_info(root)
+    found = [info] if info.type == FileType.File else system.get_file_info(FileSelector(root))
+    return sorted((f"{scheme}://{f.path}", f.size) for f in found if f.type == FileType.File and not f.base_name.startswith(("_", ".")))
+
+
+def message_starts(file, start: int, stop: int, end: int, blank: bool = False) -> tuple[list[int], bytes, int]:  # noqa: ANN001
+    """Where the messages begin that begin in a part of a file, a piece of the file that holds them, and where that begins.
+
+    A line that begins with "From " begins a message if it isn't in a header.  A header ends at its first empty line (blank: or line of
+    blanks), so such a line is in a header if none lies between it and the line of this kind before it; what lies further back doesn't
+    matter.  The file's first message begins at 0 in any case.
+    """
+    event = _EVENT_BLANK if blank else _EVENT
+    low, body = start, None
+    while low > 0 and body is None:
+        low = max(0, low - (1 << 16))
+        data = file.read_at(start - low + 8, low)
+        last = max((m.end() for m in event.finditer(data) if low + m.end() < start), default=None)
+        if last is not None:
+            low += last - 1
+            break
+    data, body, found, at = file.read_at(min(end, stop + STEP) - low, low), False, [0] if start == 0 else [], 0
+    while True:
+        whole = low + len(data) >= end
+        for m in event.finditer(data, at):
+            if m.end() + 5 > len(data) and not whole:
+                break
+            at = m.start() + 1
+            if not data.startswith(b"From ", m.end()):
+                body = True
+            elif body:
+                body = False
+                if low + m.end() >= start:
+                    found.append(low + m.end())
+                    if found[-1] >= stop:
+                        return found, data, low
+        if whole:
+            return [*found, end], data, low
+        at = max(at, len(data) - (1 << 16))
+        data += file.read_at(min(max(STEP, len(data)), end - low - len(data)), low + len(data))
+
+
+def mailbox(spark: SparkSession, path: str, blank: bool = False, split: int = SPLIT) -> DataFrame:
+    """path, fpos, size and raw (binary, byte for byte) of each message of a mailbox file or of those in a folder; see message_starts().
+
+    Files are read in parts, and a message belongs to the part in which it begins, however long it is.
     """
-    lines = spark.read.option("lineSep", "\nFrom ").text(path)
-    first = F.col("value").startswith("From ")
-    raw = F.when(first, F.col("value")).otherwise(F.concat(F.lit("From "), F.col("value"))).cast("binary")
-    return lines.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("part"), raw.alias("raw")).where(F.octet_length("raw") > 0)
+    pieces = [(uri, size, at, min(size, at + split)) for uri, size in _files(path) for at in range(0, size, split)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, end, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                system, name = FileSystem.from_uri(uri)
+                with system.open_input_file(name) as file:
+                    found, data, low = message_starts(file, start, stop, end, blank)
+                rows, size = [], 0
+                for a, b in zip(found, found[1:]):
+                    if a < stop:
+                        rows.append((uri, a, b - a, data[a - low : b - low]))
+                        size += b - a
+                        if size >= BATCH:
+                            yield _batch(rows)
+                            rows, size = [], 0
+                yield _batch(rows)
+
+    def _batch(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["path", "fpos", "size", "raw"])
+
+    frame = spark.createDataFrame(pieces, "uri string, size bigint, start bigint, stop bigint").repartition(max(1, len(pieces)))
+    return frame.mapInArrow(run, _MESSAGE)
+
+
+def read_messages(rows: DataFrame) -> DataFrame:
+    """The same columns and raw of rows with path, fpos and size: only these bytes are read."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, opened = None, None
+        for batch in batches:
+            raw = []
+            for uri, at, size in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "fpos", "size"))):
+                if uri != opened:
+                    system, name = FileSystem.from_uri(uri)
+                    file, opened = system.open_input_file(name), uri
+                raw.append(file.read_at(size, at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*names, "raw"])
 
-def index(mails: DataFrame) -> DataFrame:
-    """Metadata of each message: path, part, size, hsize, from_line, addr, name, subject and has_attach; only the headers are parsed."""
+    return rows.sortWithinPartitions("path", "fpos").mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, raw binary")
+
+
+#: Headers that the index keeps.
+KEPT = ("from", "subject", "x-deepspam", "x-grey-ng")
+
+
+def index(mails: DataFrame, keep: tuple[str, ...] = KEPT) -> DataFrame:
+    """Metadata of each message: path, fpos, size, hsize (bytes to the header's end), from_line, headers (a map of those to keep, by name;
+    of several of one name the last), addr, name, subject and has_attach.  Only headers are parsed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for raw in batch.column(2).to_pylist():
-                gap = [p + n for p, n in ((raw.find(b"\n\n"), 2), (raw.find(b"\r\n\r\n"), 4)) if p >= 0]
-                hsize = min(gap, default=len(raw))
+                gap = re.search(rb"\r?\n\r?\n", raw)
+                hsize = gap.end() if gap else len(raw)
                 first, _, rest = raw[:hsize].partition(b"\n")
                 if not first.startswith(b"From "):
                     first, rest = b"", raw[:hsize]
-                found = dict(mail._headers(rest))
-                addr, name = mail.decode_address(found.get("from", b"").decode("utf-8", "mailloom-mixed"))
-                subject = mail.decode_header(found["subject"].lstrip()) if "subject" in found else None
-                rows.append((len(raw), hsize, first.rstrip(b"\r").decode("ascii", "ignore") or None, addr, name, subject, b"\nContent-Disposition: attachment" in raw[hsize - 1 :]))
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 7, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["path", "part", "size", "hsize", "from_line", "addr", "name", "subject", "has_attach"])
+                found = {k: v.lstrip().decode("utf-8", "mailloom-mixed") for k, v in mail._headers(rest) if k in keep}
+                addr, name = mail.decode_address(found.get("from", ""))
+                subject = mail.decode_header(found["subject"]) if "subject" in found else None
+                rows.append((len(raw), hsize, first.rstrip(b"\r").decode("ascii", "ignore") or None, list(found.items()), addr, name, subject, b"\nContent-Disposition: attachment" in raw[hsize - 1 :]))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string(), pa.bool_())
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 8, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["path", "fpos", "size", "hsize", "from_line", "headers", "addr", "name", "subject", "has_attach"])
 
-    return mails.select("path", "part", "raw").mapInArrow(run, "path string, part bigint, size bigint, hsize bigint, from_line string, addr string, name string, subject string, has_attach boolean")
+    kinds = "path string, fpos bigint, size bigint, hsize bigint, from_line string, headers map<string, string>, addr string, name string, subject string, has_attach boolean"
+    return mails.select("path", "fpos", "raw").mapInArrow(run, kinds)
 
 
 def parts(mails: DataFrame, id_col: str, raw_col: str = "raw") -> DataFrame:
@@ -77,11 +181,16 @@ def labelled_lines(spark: SparkSession, path: str, label_id: int, split: str, le
     return rows.select(F.get(both, F.lit(0)).alias("subject"), F.get(both, F.lit(1)).alias("body"), F.lit(label_id).alias("label_id"), F.lit(split).alias("split"))
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and number (from 1) of all lines of text files, in order of the files' names and of the lines."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return in_order(lines, ["_file", "_block", "_line"], "lines").select("value", "number")
+
+
 def vocabulary_by_line(spark: SparkSession, path: str) -> DataFrame:
     """word and id: each line's first word and the line's number, from 1; of several lines of a word the last one counts."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    numbered = lines.withColumn("id", F.row_number().over(W.orderBy("at"))).withColumn("word", F.split(F.trim("value"), r"\s+")[0])
-    return numbered.groupBy("word").agg(F.max("id").alias("id"))
+    numbered = text_lines(spark, path).withColumn("word", F.split(F.trim("value"), r"\s+")[0])
+    return numbered.groupBy("word").agg(F.max("number").alias("id"))
 
 
 def vocabulary_by_column(spark: SparkSession, path: str) -> DataFrame:
@@ -115,13 +224,3 @@ def appended(known: DataFrame, found: DataFrame, key: str) -> DataFrame:
     mark = known.agg(F.max(key).alias("_mark"))
     fresh = found.crossJoin(F.broadcast(mark)).where(F.col("_mark").isNull() | (F.col(key) > F.col("_mark"))).drop("_mark")
     return known.unionByName(fresh)
-
-
-def write_routes(rows: DataFrame, path: str, route: str = "route") -> None:
-    """A folder for each route."""
-    rows.write.partitionBy(route).mode("error").parquet(path)
-
-
-def write_mailbox(mails: DataFrame, path: str, order: str, raw: str = "raw") -> None:
-    """Messages as mailbox files that, in order of their names, hold them in order."""
-    mails.orderBy(order).select(F.rtrim(F.col(raw).cast("string")).alias("value")).write.mode("error").text(path)

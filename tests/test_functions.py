@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from mailloom.functions import mail, payload, tokens
 from mailloom.functions.html import declared_charset, html_text
+from mailloom.functions.rtf import rich_text
 
 
 def test_html():
@@ -90,7 +91,7 @@ def test_payloads():
 
 
 def test_rich_text():
-    assert payload.rich_text(r"{\rtf1\ansicpg1250 \'e1r\u337?\par{\*\x hidden}{\fonttbl F}b\{}") == "árő\nb{"
+    assert rich_text(r"{\rtf1\ansicpg1250 \'e1r\u337?\par{\*\x hidden}{\fonttbl F}b\{}") == "árő\nb{"
 
 
 @given(st.text())

@@ -36,7 +36,7 @@ def test_sql(spark, con, name):
     assert rows(columns, [r.asDict() for r in got.collect()]) == rows(columns, [dict(zip(columns, r)) for r in want.fetchall()])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"dedup_similarity", "word2vec_neighbors"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"dedup_similarity", "word2vec_neighbors", "cnn_trained", "cnn_report", "text_differences", "piece_round_trip", "corpus_filter"}))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
@@ -92,7 +92,7 @@ def test_mailbox(spark, tmp_path):
     from mailloom.sources import mailbox
 
     (tmp_path / "box").write_bytes(b"From a\nFrom: N <n@x.y>\nSubject: one\n\nbody\nContent-Disposition: attachment\n\nFrom b\nSubject: two\n more\n\nbody \xff\n")
-    found = mailbox.index(mailbox.mailbox(spark, str(tmp_path / "box"))).orderBy("part").collect()
+    found = mailbox.index(mailbox.mailbox(spark, str(tmp_path / "box"))).orderBy("fpos").collect()
     assert [(r.subject, r.addr, r.name, r.has_attach) for r in found] == [("one", "n@x.y", "N", True), ("two more", "", "", False)]
     (tmp_path / "words").write_text("b 3\na 4\nb 9\n")
     assert {r.word: r.id for r in mailbox.vocabulary_by_line(spark, str(tmp_path / "words")).collect()} == {"b": 3, "a": 2}
@@ -144,11 +144,57 @@ def test_nearest_of_all(spark):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     c, ids = np.round(v @ v.T, 9), rows.vec_id.tolist()
     want = {ids[i]: sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-c[i, j], ids[j]))[:10] for i in range(len(ids))}
-    for got in (QUERIES["nearest_vectors_all"](spark, DIR), model.nearest(found, found, block=120)):
+    for got in (QUERIES["nearest_vectors"](spark, DIR), model.nearest(found, found, block=120)):
         near = got.toPandas().sort_values("rank").groupby("query").vec_id.apply(list).to_dict()
         assert near == {q: [ids[j] for j in x] for q, x in want.items()}
 
 
+def test_differences_of_the_table(spark):
+    from mailloom.operators import lookup
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: r.runs for r in QUERIES["text_differences"](spark, DIR).collect()}
+    rows = spark.read.parquet(f"{DIR}/documents.parquet").collect()
+    for r in rows[:60]:
+        x, y = split_lossless(r.text), split_lossless(r.text.replace("the", "THE"))
+        want = 0
+        for op, i, j, k, m in SequenceMatcher(None, x, y).get_opcodes():
+            want += 1 if op == "equal" else bool("".join(x[i:j])) + bool("".join(y[k:m]))
+        assert got[r.doc_id] == want
+    one = spark.createDataFrame([("a b c", "a x c")], "a string, b string").select(lookup.differences(F.col("a"), F.col("b")).alias("d")).first().d
+    assert [(x.op, x.text) for x in one] == [("equal", "a "), ("delete", "b"), ("insert", "x"), ("equal", " c")]
+
+
+def test_texts_of_the_pages(spark):
+    from mailloom.functions import html, mail, payload
+    from mailloom.plans import parsing
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in QUERIES["html_texts"](spark, DIR).collect()}
+    assert got == {k: html.html_text(x.encode()).decode("utf-8", "replace") for k, x in pages.items()}
+    got = {r.page_id: r.text for r in QUERIES["html_payload"](spark, DIR).collect()}
+    assert got == {k: payload.payload_text(x.encode(), "text/html", "utf-8") for k, x in pages.items()}
+    raw = {r.page_id: bytes(r.raw) for r in parsing._raw_mails(spark, DIR).collect()}
+    found = {r.idx: (r.subject, r.text) for r in QUERIES["best_text"](spark, DIR).collect()}
+    assert found == {k: mail.best_text(mail.parse(x)) for k, x in raw.items()}
+
+
+def test_tokens_of_the_table(spark):
+    from mailloom.functions import tokens
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    assert {r.doc_id: r.tokens for r in QUERIES["tokens_v1"](spark, DIR).collect()} == {k: " ".join(tokens.hide_digits(t)) for k, t in texts.items()}
+    assert {r.doc_id: r.text for r in QUERIES["preprocess_v2"](spark, DIR).collect()} == {k: tokens.normalize(t) for k, t in texts.items()}
+
+
+def test_neighbours_of_words(spark):
+    import re
+
+    found = QUERIES["word2vec_neighbors"](spark, DIR).toPandas()
+    words = {w for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect() for w in re.findall(r"[^\W_]+", r.text.lower())}
+    assert set(found.word) == words and (found.groupby("word")["rank"].max() == 10).all() and found.cosine.between(-1.000001, 1.000001).all()
+
+
 def test_cost():
     from mailloom.operators import model
 
