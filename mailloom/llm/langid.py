@@ -173,7 +173,11 @@ def accepts(found: Column) -> Column:
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row a document: doc_id, detected, distance, n_grams, accepted; the profiles are those of the documents' own languages."""
+    """One row a document: doc_id, detected, distance, n_grams, accepted; the profiles are those of the documents' own languages.
+
+    A null text has nulls and isn't accepted, nor is one without letters; a row with a null language has no part in a profile and is
+    identified like any other.  Repeated rows count and are listed each; other columns are left out.
+    """
     profiles = train(docs, text_col, lang_col)
     found = docs.select(F.col(id_col).alias("doc_id"), identify(F.col(text_col), profiles).alias("f"))
     return found.select("doc_id", "f.detected", "f.distance", "f.n_grams", accepts(F.col("f")).alias("accepted"))

@@ -57,22 +57,25 @@ class Distinct:
 
 
 def scores(data: np.ndarray, off: np.ndarray, model: Model, distinct: Distinct) -> np.ndarray:
-    """The classifier's log-odds of each row: each n-gram of a row counts once."""
+    """The classifier's log-odds of each row: each n-gram of a row counts once, and so does an id that n-grams of two lengths share."""
     total = np.full(len(off) - 1, model.bias)
+    live, ends = [], []
     for ids, at in gram_ids(data, off):
-        w = model.weights[ids]
-        for r in range(len(off) - 1):
-            a, b = at[0, r], at[1, r]
-            live = ids[a:b][w[a:b] != 0]
-            if len(live):
-                total[r] += model.weights[distinct(live)].sum(dtype=np.float64)
+        some = np.flatnonzero(model.weights[ids] != 0)
+        live.append(ids[some])
+        ends.append(np.searchsorted(some, at))
+    for r in range(len(off) - 1):
+        own = [ids[at[0, r] : at[1, r]] for ids, at in zip(live, ends)]
+        if any(map(len, own)):
+            total[r] += model.weights[distinct(np.concatenate(own))].sum(dtype=np.float64)
     return total
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 80, alpha: float = 1.0, ridge: float = 1e-3, least: int = 3, doubt: float = 2.0) -> Model:
     """Logistic regression on presences of n-grams times their log-count ratios; the classes weigh alike.
 
-    A ratio is moved towards 0 by `doubt` times its standard error.  An n-gram that fewer than `least` documents have is left out.  Without documents of both classes, a model that calls nothing toxic.
+    A ratio is moved towards 0 by `doubt` times its standard error.  An n-gram that fewer than `least` documents have is left out.
+    Without documents of both classes, a model that calls nothing toxic.
     """
     y = toxic.astype(np.float64)
     if not 0 < y.sum() < len(y):
@@ -130,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit the classifier on labelled documents, max_rows of each class at most, chosen by a hash of their ids.
 
     labels has doc_id and toxic (0 or 1); rows with a null or another value are left out, and of several labels of a document the
-    largest counts.  A document with a null text isn't used.
+    largest counts.  A document with a null text isn't used, and of several rows of one id the least text is.
     """
     given = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     mixed = F.xxhash64("_id")
@@ -142,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         docs.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_text"))
         .where("_text is not null")
         .join(F.broadcast(few), "_id")  # 2 * max_rows rows at most
-        .select("_id", "_text", "_toxic")
+        .groupBy("_id")
+        .agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic"))
         .toArrow()
         .sort_by([("_id", "ascending"), ("_text", "ascending")])
     )
@@ -173,7 +177,11 @@ def _broadcast(model: Model):  # noqa: ANN202
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, score (probability, null for a null text), toxic (false for a null text)."""
+    """One row a document: doc_id, score (probability, null for a null text), toxic (false for a null text).
+
+    An empty text has the score of the intercept.  Repeated rows are scored each, other columns are left out, and without labels of both
+    classes all scores are 0.
+    """
     model = train(docs, labels, id_col, text_col)
     found = docs.select(F.col(id_col).alias("doc_id"), toxicity(F.col(text_col), model).alias("score"))
     return found.select("doc_id", "score", F.coalesce(F.col("score") >= THRESHOLD, F.lit(False)).alias("toxic"))

@@ -140,6 +140,34 @@ def test_toxicity(spark, odd, none):
     assert toxicity.classify(none, marks).count() == 0
 
 
+def brute_toxicity(text, model):
+    ids = set()
+    padded = f" {text.lower()} "
+    for n in toxicity.ORDERS:
+        for k in range(len(padded) - n + 1):
+            g = ord(padded[k]) + 1
+            for c in padded[k + 1 : k + n]:
+                g = (g * 0x100000001B3 + ord(c) + 1) % 2**64
+            ids.add((g * 0x9E3779B97F4A7C15 + (n << 40)) % 2**64 >> 64 - toxicity.HASH_BITS)
+    return 1 / (1 + np.exp(-(model.bias + sum(float(model.weights[i]) for i in ids))))
+
+
+def test_toxicity_by_brute_force(spark, docs):
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    assert (model.weights != 0).sum() > 50
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    for r in docs.collect():
+        assert np.isclose(got[r.doc_id], brute_toxicity(r.text, model), atol=1e-5)
+    # The weights are ratios of counts over documents, moved towards 0, times factors that all begin alike.
+    texts = ["aaa bbb"] * 20 + ["ccc ddd"] * 20
+    fitted = toxicity.fit(pa.array(texts), np.array([1] * 20 + [0] * 20))
+    assert brute_toxicity("aaa bbb", fitted) > 0.9 and brute_toxicity("ccc ddd", fitted) < 0.1 and abs(brute_toxicity("xyz", fitted) - 0.5) < 0.2
+    # Repeated ids bring one text each.
+    many = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat(F.lit("\U0010ffff"), "text")))
+    assert np.array_equal(toxicity.train(many, labels).weights, model.weights)
+
+
 # 4
 
 
@@ -154,6 +182,9 @@ def test_language(spark, docs, odd, none):
     kept = langid.reject_unknown(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {3, 4, 5} and 1 not in {r.doc_id for r in kept.collect()}
     assert langid.classify(none).count() == 0 and langid.reject_unknown(none).count() == 0
+    junk = [(9001, "zzqxj wqzx " * 40), (9002, "これは日本語の文章です。" * 20), (9003, "12345 67890 " * 30), (9004, "".join(chr(0x10A0 + (7 * k) % 40) + (" " if k % 6 == 0 else "") for k in range(600)))]
+    planted = docs.unionByName(spark.createDataFrame([(i, t, "en", "planted", len(t)) for i, t in junk], docs.schema))
+    assert {i for i, _ in junk} & {r.doc_id for r in langid.reject_unknown(planted).collect()} == set()
 
 
 # 5
@@ -183,6 +214,9 @@ def test_near_duplicates(spark, docs, odd, none):
     left = simhash.drop_near_duplicates(odd)
     assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 6, 7]
     assert simhash.groups(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
+    again = spark.createDataFrame([(1, f"quite another text of number {k} and nothing else", k) for k in range(40)] + [(None, "x", 0)] * 2, "doc_id bigint, text string, extra int")
+    left = [tuple(simhash.drop_near_duplicates(again.repartition(n)).orderBy("doc_id").collect()) for n in (1, 7)]
+    assert left[0] == left[1] and len(left[0]) == 3
 
 
 def test_oversized_buckets():
@@ -419,17 +453,25 @@ def test_packing(docs, odd, none):
         size = got.end - got.begin
         assert size.sum() == text.n.sum() and (size >= 0).all()
         assert set(got.doc_id.fillna(-1)) == set(text.doc_id.fillna(-1))
-        full = got.assign(size=size).sort_values(["block", "window", "position"])
-        for _, block in full.groupby("block"):
+        full = got.assign(size=size).sort_values(["block", "part", "window", "position"])
+        for _, block in full.groupby(["block", "part"]):
             sums = block.groupby("window")["size"].sum()
             assert (sums.iloc[:-1] == window).all() and (block.position + block["size"] <= window).all()
-        for (_, i), g in got.assign(size=size).groupby(["block", got.doc_id.fillna(-1)]):
+        for (_, _, i), g in got.assign(size=size).groupby(["block", "part", got.doc_id.fillna(-1)]):
             if list(text.doc_id.fillna(-1)).count(i) == 1:
                 g = g.sort_values("begin")
                 assert g.begin.iloc[0] == 0 and (g.begin.iloc[1:].values == g.end.iloc[:-1].values).all()
     assert packing.pack(none).count() == 0
 
 
+def test_large_blocks_have_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    rows = [(k, "the same words in each") for k in range(120)] + [(k, f"text number {k} of many {k % 9}") for k in range(200, 300)] + [(k, "!!!") for k in range(400, 520)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), window=64).toPandas()
+    assert set(got.doc_id) == {k for k, _ in rows} and (got.end - got.begin).sum() == sum(len(t) for _, t in rows)
+    assert got[got.block == -1].part.nunique() == 3 and got.groupby(["block", "part"]).doc_id.nunique().max() < 120
+
+
 def test_related_lie_together(spark):
     rng = np.random.default_rng(6)
     topics = [[f"t{t}x{k}" for k in range(80)] for t in range(5)]
