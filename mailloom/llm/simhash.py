@@ -16,8 +16,6 @@ BITS, TABLES, SAMPLE, MAX_DISTANCE = 128, 32, 14, 20
 #: A bucket of more signatures than this is split by additional bits, in so many ways that a pair at MAX_DISTANCE is apart in all of them
 #: with a chance of MISSED at most; half of that where a part is split again.
 BUCKET_CAP, MISSED = 256, 0.04
-#: Up to this many ids of documents to drop (about 64 MB) are sent to all tasks; for more, documents are moved to their ids.
-BROADCAST_IDS = 4_000_000
 
 
 def signatures(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -269,16 +267,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, without those of a group other than the kept one.
 
-    Documents with a null id stay.  Of rows that repeat an id, one stays.
+    Documents with a null id stay.  Of rows that repeat an id, one stays: that of the least signature, which groups() used, then of the
+    least text, then of the least hash of all columns that can be hashed.
     """
     found = store.written(groups(docs, id_col, text_col), "simhash-groups")
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
     left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
     again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).count().where("count > 1").select("_again")
     again = store.written(again, "simhash-again")
     if again.isEmpty():
         return left
-    repeated = left.join(again, left[id_col] == again["_again"], "left_semi").dropDuplicates([id_col])
-    return left.join(again, left[id_col] == again["_again"], "left_anti").unionByName(repeated)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    repeated = left.join(again, left[id_col] == again["_again"], "left_semi")
+    keyed = repeated.select(F.col(id_col).alias("_again"), F.struct(signature(F.col(text_col)).alias("s"), F.col(text_col).alias("t"), F.xxhash64(*plain).alias("h")).alias("_order"), F.struct(*columns).alias("_row"))
+    one = keyed.groupBy("_again").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
+    return left.join(again, left[id_col] == again["_again"], "left_anti").unionByName(one)
