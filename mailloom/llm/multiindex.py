@@ -334,10 +334,22 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
-    """row, id, vec, rep (the row that stands for all rows with the same vector) and place (among them, by id and row, from 1)."""
-    same = W.partitionBy("vec").orderBy(F.asc_nulls_last("id"), "row")
-    marked = rows.withColumn("place", F.row_number().over(same)).withColumn("rep", F.first("row").over(same))
-    return store.written(marked, "multiindex-distinct")
+    """row, id, vec, rep (the row that stands for all rows with the same vector: the first by id and row) and copies (how many there are).
+
+    Equal vectors are told by two 64-bit hashes.  Groups are aggregated before they are joined to their rows, so none is in one task.
+    """
+    keyed = rows.withColumn("_one", F.xxhash64("vec")).withColumn("_two", F.xxhash64(F.lit(1), "vec"))
+    groups = keyed.groupBy("_one", "_two").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "row"))["row"].alias("rep"), F.count("*").alias("copies"))
+    return store.written(keyed.join(groups, ["_one", "_two"]).drop("_one", "_two"), "multiindex-distinct")
+
+
+def first_members(marked: DataFrame, most: int) -> DataFrame:
+    """rep and members (structs of id and row): the first rows of each vector by id and row, `most` at most; large groups are cut in parts first."""
+    order = [F.asc_nulls_last("id"), F.asc("row")]
+    part = F.pmod(F.xxhash64("row"), F.lit(64)).alias("part")
+    few = marked.select("rep", "id", "row", part).withColumn("n", F.row_number().over(W.partitionBy("rep", "part").orderBy(*order))).where(F.col("n") <= most)
+    few = few.withColumn("n", F.row_number().over(W.partitionBy("rep").orderBy(*order))).where(F.col("n") <= most)
+    return few.groupBy("rep").agg(F.collect_list(F.struct("id", "row")).alias("members"))
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
@@ -364,9 +376,9 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, id_col: str = "vec_id",
     if not dims:
         return spark.createDataFrame([], "vec_id bigint, rank int, neighbour bigint, distance double")
     marked = distinct_vectors(numbered(rows))
-    index, entries = build(marked.where("place = 1").select(F.col("rep").alias("key"), "vec"), dims)
+    index, entries = build(marked.where("row = rep").select(F.col("rep").alias("key"), "vec"), dims)
     near = search(index, entries, k + 1, start, margin)
-    least = marked.where(F.col("place") <= k + 1).groupBy("rep").agg(F.collect_list(F.struct("id", "row")).alias("members"))
+    least = first_members(marked, k + 1)
     pairs = near.select(F.col("key").alias("of"), F.explode("near").alias("n")).select("of", F.col("n.d").alias("d"), F.col("n.key").alias("rep"))
     each = pairs.join(least, "rep").select("of", F.explode(F.transform("members", lambda m: F.struct(F.col("d").alias("d"), m["id"].alias("id"), m["row"].alias("row")))).alias("c"))
     lists = each.groupBy("of").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k + 1).alias("c"))

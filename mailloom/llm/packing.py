@@ -14,9 +14,11 @@ from mailloom.llm import kernels as K
 from mailloom.llm import multiindex, store
 
 #: Production parameters: characters of a window, neighbours of a document in the graph, length of a document's vector.
-WINDOW, NEIGHBOURS, DIMS = 8192, 5, 16
+WINDOW, NEIGHBOURS, DIMS = 8192, 5, 32
 #: Links that one task settles; more are settled in distributed rounds first, with the same result.
 SETTLED = 1 << 21
+#: Rows of a block, about; larger ones are divided, by paths, and by rows where one vector has more copies than this.
+BLOCK = 1 << 18
 
 _ONE = 1 << 14
 
@@ -194,30 +196,36 @@ def paths(graph: DataFrame, nodes: DataFrame, settled: int = SETTLED) -> DataFra
 
 
 def pack(docs: DataFrame, window: int = WINDOW, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of windows: block, window, position, doc_id, begin, end, path.
+    """The pieces of windows: block, part, window, position, doc_id, begin, end, path.
 
     Each document's k nearest neighbours are searched among all documents (see vectors() and the inverted multi-index).  Greedy paths
     cover the whole graph, whichever blocks its links cross (see join_paths()); documents with equal vectors stand together, by id.  The
-    paths that begin in neighbouring cells, 32,768 distinct vectors or so, make a block; they follow each other by cell and are cut into
-    windows of `window` characters, so that only the last one of a block is shorter.  A piece is characters begin to end (exclusive, from 0) of a document
+    paths that begin in neighbouring cells, 32,768 distinct vectors or so, make a block; a block of more than BLOCK rows has several parts,
+    among which its paths (and the copies of a text that has more than BLOCK of them) are dealt by a hash.  The paths of a part follow each
+    other by cell and are cut into windows of `window` characters, so that only the last one of a part is shorter.  A piece is characters begin to end (exclusive, from 0) of a document
     and lies at `position` in its window.  Every row of documents is packed, whole, once: a repeated row or id is packed again, a null
     id stays null, a text that is null or empty has one piece without characters, and texts without words come last, in block -1, by id.
     Other columns are left out.
     """
     rows = store.written(vectors(docs, id_col=id_col, text_col=text_col), "packing-vectors")
     marked = multiindex.distinct_vectors(rows.where("vec is not null"))
-    built = multiindex.build(marked.where("place = 1").select(F.col("rep").alias("key"), "vec"), DIMS)
-    bare = rows.where("vec is null").select(F.lit(-1).alias("block"), F.lit(0).alias("cell"), "id", "n_chars", "row", F.lit(0).cast("bigint").alias("path"), F.lit(0).cast("bigint").alias("step"))
+    built = multiindex.build(marked.where("row = rep").select(F.col("rep").alias("key"), "vec"), DIMS)
+    none = F.lit(0).cast("bigint")
+    bare = rows.where("vec is null").select(F.lit(-1).alias("block"), F.lit(0).alias("cell"), "id", "n_chars", "row", none.alias("path"), none.alias("step"), F.xxhash64("row").alias("part"))
     placed = bare
     if built:
         index, entries = built
         near = multiindex.search(index, entries, k + 1)
         walked = paths(links(near), entries.select("key", "cell", "group")).withColumnRenamed("key", "rep")
-        placed = marked.join(walked, "rep").select("block", "cell", "id", "n_chars", "row", "path", "step").unionByName(bare)
-    order = W.partitionBy("block").orderBy("cell", "path", "step", F.asc_nulls_last("id"), "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+        part = F.when(F.col("copies") > BLOCK, F.xxhash64("row")).otherwise(F.xxhash64("path"))
+        placed = marked.join(walked, "rep").select("block", "cell", "id", "n_chars", "row", "path", "step", part.alias("part")).unionByName(bare)
+    placed = store.written(placed, "packing-placed")
+    parts = placed.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    placed = placed.join(parts, "block").withColumn("part", F.pmod("part", "parts").cast("int"))
+    order = W.partitionBy("block", "part").orderBy("cell", "path", "step", F.asc_nulls_last("id"), "row").rowsBetween(W.unboundedPreceding, W.currentRow)
     laid = placed.withColumn("stop", F.sum("n_chars").over(order)).withColumn("start", F.col("stop") - F.col("n_chars"))
     last = F.when(F.col("n_chars") > 0, F.col("stop") - 1).otherwise(F.col("start"))
     size = F.lit(window)
     cut = laid.withColumn("window", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(last / size))))
     lo, hi = F.greatest("start", F.col("window") * size), F.least("stop", (F.col("window") + 1) * size)
-    return cut.select("block", "window", (lo - F.col("window") * size).alias("position"), F.col("id").alias("doc_id"), (lo - F.col("start")).alias("begin"), (hi - F.col("start")).alias("end"), "path")
+    return cut.select("block", "part", "window", (lo - F.col("window") * size).alias("position"), F.col("id").alias("doc_id"), (lo - F.col("start")).alias("begin"), (hi - F.col("start")).alias("end"), "path")
