@@ -6,9 +6,7 @@ differently look at the column's validity themselves.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +19,6 @@ _BASE = 0x5851F42D4C957F2D
 _tables: dict[str, np.ndarray] = {}
 
 
-def single_thread() -> None:
-    """Let numpy's matrix products in a worker run in its own thread: those here are small, and helpers that wait for work cost a core each."""
-    if "single" in _tables:
-        return
-    _tables["single"] = np.ones(1)
-    for path in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
-        lib = ctypes.CDLL(str(path))
-        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
-            if hasattr(lib, name):
-                getattr(lib, name)(1)
-
-
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (the constants of SplitMix64) over an array of uint64."""
     z = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)

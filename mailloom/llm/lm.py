@@ -364,7 +364,6 @@ def train(tokens: DataFrame, size: int, rounds: int = ROUNDS, rate: float = 0.02
         shared = spark.sparkContext.broadcast(model)  # the vocabulary times WIDTH numbers
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            K.single_thread()
             at, t = None, None
 
             def result() -> pa.RecordBatch:
@@ -456,7 +455,6 @@ def score_tokens(tokens: DataFrame, model: Model, memory: float = MEMORY) -> Dat
 
     @F.arrow_udf("struct<rest: double, log: array<double>, key: array<bigint>>")
     def run(column: pa.Array) -> pa.Array:
-        K.single_thread()
         ids, off = _ids(column)
         row, log, full, key = block_log_probs(ids, off, shared.value)
         rest = np.bincount(row[~full], log[~full], len(column)) if len(row) else np.zeros(len(column))
