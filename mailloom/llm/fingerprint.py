@@ -62,8 +62,8 @@ def fingerprint(text: Column | str, width: int = WIDTH, bins: int = BINS, bits:
     are packed, low bins first.  A null text has null; a text without words has 0 shingles and a null fingerprint.  Repeated shingles
     count in n_shingles and don't alter the fingerprint.
     """
-    if bins & (bins - 1) or 64 % bits:
-        raise ValueError("bins must be a power of two and bits a divisor of 64")
+    if bins < 2 or bins & (bins - 1) or bits < 1 or 64 % bits or bins * bits % 64 or width < 1:
+        raise ValueError("bins must be a power of two, bits a divisor of 64, and both together whole words of 64 bits")
 
     @F.arrow_udf("struct<n_shingles: bigint, fingerprint: array<bigint>>")
     def run(column: pa.Array) -> pa.Array:

@@ -24,7 +24,9 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         least = large.select("u", "v", F.min("v").over(W.partitionBy("u")).alias("m"))
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
         small = least.select(F.explode(pairs).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
-        now = store.written(small, "components")
+        last, now = now, store.written(small, "components")
+        if before is not None:
+            store.remove(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mailloom.llm import kernels as K
 from mailloom.llm import store
-from mailloom.llm.tokenfile import VOCABULARY, encoding
+from mailloom.llm.tokenfile import VOCABULARY, encoding, ranks
 
 #: Production parameters: ids that a window scores, and those of context before them (as many); width of the model and of its hidden layer;
 #: classes of ids, of which the first SINGLES hold one id each.
@@ -37,8 +37,8 @@ _DENSE = ("place", "wqkv", "wo", "w1", "b1", "wc", "bc")
 class Subwords:
     """Byte-level BPE ids of texts: the pieces of a text are runs of blanks, of word bytes and of others, the latter two with one blank before them."""
 
-    def __init__(self, vocabulary: str = VOCABULARY) -> None:
-        self.one = encoding(vocabulary)._encode_single_piece
+    def __init__(self, vocabulary: str = VOCABULARY, given: dict[bytes, int] | None = None) -> None:
+        self.one = encoding(vocabulary, given)._encode_single_piece
         self.kind = np.where(K.word_bytes(), 1, 2).astype(np.int8)
         self.kind[[9, 10, 11, 12, 13, 32]] = 0
         self._forget()
@@ -244,11 +244,12 @@ class Trainer:
 
 def token_table(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (a number of its own), doc_id and ids (little-endian uint16; null for a null text), a written table."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks(vocabulary))
 
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
         if vocabulary not in _subwords:
-            _subwords[vocabulary] = Subwords(vocabulary)
+            _subwords[vocabulary] = Subwords(vocabulary, shared.value)
         data, off = K.utf8(column)
         parts, size = [np.zeros(0, "<u2")], [np.zeros(1, np.int64)]
         for lo, hi in K.chunks(off):
@@ -489,7 +490,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id",
     likelier, and a block that occurs once has no part in its own memory.  A null text has nulls, an empty one no ids, a log_prob of 0
     and a null perplexity; repeated rows are scored each.  Other columns are left out.
     """
-    size = max(encoding(vocabulary)._mergeable_ranks.values()) + 1
+    size = max(ranks(vocabulary).values()) + 1
     if size > 1 << 16:
         raise ValueError("a vocabulary of more than 65,536 ids isn't supported")
     tokens = token_table(docs, vocabulary, id_col, text_col)

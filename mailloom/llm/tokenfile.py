@@ -34,18 +34,18 @@ def ranks(vocabulary: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def encoding(vocabulary: str = VOCABULARY):  # noqa: ANN201
-    """The tokenizer of a file of ranks, loaded once a worker."""
+def encoding(vocabulary: str = VOCABULARY, given: dict[bytes, int] | None = None):  # noqa: ANN201
+    """The tokenizer of a file of ranks, or of those that the driver has read from it; made once a worker."""
     if vocabulary not in _encoders:
         import tiktoken
 
-        _encoders[vocabulary] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(vocabulary), special_tokens={})
+        _encoders[vocabulary] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=given or ranks(vocabulary), special_tokens={})
     return _encoders[vocabulary]
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
+def encoder(vocabulary: str = VOCABULARY, given: dict[bytes, int] | None = None) -> Callable[[str], list[int]]:
     """Text to ids; special tokens' strings are ordinary text."""
-    return encoding(vocabulary).encode_ordinary
+    return encoding(vocabulary, given).encode_ordinary
 
 
 def seek_table(frames: list[tuple[int, int, int]]) -> bytes:
@@ -108,13 +108,15 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, id_
     A task writes one shard, under another name than any other attempt, and the index names those of the attempts that counted; so a
     lost executor's shards are written anew.  Index columns: doc_id, shard (a URI), frame, n_tokens, checksum.  Ids are little-endian
     uint16, or uint32 for a vocabulary of more than 65,536.  A null text has no frame (shard, frame, n_tokens and checksum are null); an
-    empty one has a frame of no tokens; repeated rows have a frame each.
+    empty one has a frame of no tokens; repeated rows have a frame each.  Other columns are left out.  Shards of attempts that failed are
+    removed at the end.  The driver reads the vocabulary and sends it to the tasks.
     """
-    most = max(ranks(vocabulary).values())
-    dtype = "<u2" if most < 1 << 16 else "<u4"
+    given = ranks(vocabulary)
+    dtype = "<u2" if max(given.values()) < 1 << 16 else "<u4"
+    shared = docs.sparkSession.sparkContext.broadcast(given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(vocabulary), None
+        encode, shard = encoder(vocabulary, shared.value), None
         for batch in batches:
             if shard is None:
                 uri = f"{folder}/shard-{uuid.uuid4().hex}.zst"
@@ -141,7 +143,13 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, id_
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, INDEX)
     path = f"{folder}/index"
     rows.write.parquet(path)
-    return docs.sparkSession.read.schema(INDEX).parquet(path)
+    index = docs.sparkSession.read.schema(INDEX).parquet(path)
+    counted = {r.shard.rpartition("/")[2] for r in index.select("shard").where("shard is not null").distinct().collect()}  # one a task
+    fs, place = pyarrow.fs.FileSystem.from_uri(folder)
+    for f in fs.get_file_info(pyarrow.fs.FileSelector(place, allow_not_found=True)):
+        if f.base_name.startswith("shard-") and f.base_name not in counted:
+            fs.delete_file(f.path)
+    return index
 
 
 def read_tokens(index: DataFrame) -> DataFrame:
@@ -165,6 +173,6 @@ def read_tokens(index: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def token_files(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Write the documents' token ids into a new folder of the shared one; the index."""
-    return write_tokens(docs, store.new_path(docs.sparkSession, "tokens"), vocabulary)
+def token_files(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the documents' token ids into a new folder of the shared one; the index (see write_tokens())."""
+    return write_tokens(docs, store.new_path(docs.sparkSession, "tokens"), vocabulary, id_col, text_col)
