@@ -45,8 +45,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is a table in the shared folder, which the next one reads."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows.
+
+    Each stage's result is a table in the shared folder, which the next one reads; when it is written, the table that it was made from and
+    all that the stage wrote on the way are removed.
+    """
+    docs, source = None, spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = store.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with store.scratch(spark) as paths:
+            now = store.written(stage(spark, source if docs is None else docs, sf_dir), f"pipeline-{name}")
+            paths.pop()
+        if docs is not None:
+            store.remove(docs)
+        docs = now
     return docs
