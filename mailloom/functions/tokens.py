@@ -32,14 +32,20 @@ def plain(c: str) -> str:
     if c < "\x80":
         return c
     c = {"×": "x", "Ø": "O", "ø": "o", "ß": "ss"}.get(c, c)
-    return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+    found = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+    return "" if found == "()" else found
 
 
-def hide_digits(text: str, vocabulary: set[str] | None = None) -> list[str]:
+def without_accents(text: str, table: dict[str, str] | None = None) -> str:
+    """The text in ASCII: other characters by a table of look-alikes, if there is one, else by their ASCII forms; those without one go."""
+    return "".join(c if c < "\x80" else plain(c) if table is None else table.get(c, "") for c in text)
+
+
+def hide_digits(text: str, vocabulary: set[str] | None = None, table: dict[str, str] | None = None) -> list[str]:
     """Tokens of letters a to z, of digits (each as #) and of the marks ! ; and . once each; those of the vocabulary, if there is one."""
     for pattern, mark in SCRUB_OLD:
         text = re.sub(pattern, mark, text, flags=re.A)
-    text = "".join(map(plain, text)).lower()
+    text = without_accents(text, table).lower()
     text = re.sub(r"([!;.])\1+", r"\1", text)
     text = re.sub(r"(?<=[a-z!;._-])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ", text)
     text = re.sub(r"[0-9]", "#", text)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,12 +56,12 @@ def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.r_[x, np.zeros(-len(x) % _WIDE)].reshape(-1, _WIDE)
 
 
-def train(rows: DataFrame, weights: dict[str, np.ndarray], epochs: int = 15, batch: int = 1024, rate: float = 1e-3, drop: float = 0.1, held: DataFrame | None = None, slack: float = 1e-4, length: int = model.LENGTH) -> tuple[dict[str, np.ndarray], list[dict]]:
+def train(rows: DataFrame, weights: dict[str, np.ndarray], epochs: int = 15, batch: int = 1024, rate: float = 1e-3, drop: float = 0.1, held: DataFrame | None = None, slack: float = 1e-4, length: int = model.LENGTH, after: Callable[[dict, dict], None] | None = None) -> tuple[dict[str, np.ndarray], list[dict]]:
     """The weights of the best epoch (the last one without held-out rows), and a log: epoch, rate, loss, accuracy, and the held-out loss and cost.
 
     rows (and held) have ids (array of int) and label_id (0 or 1).  In each epoch a share `drop` of the ids, drawn anew, becomes 0; the
     rate falls along a cosine.  An epoch is the best if its held-out loss is lower than that of the best one before by more than `slack`.
-    Rows with a null are left out; without rows the weights stay.
+    Rows with a null are left out; without rows the weights stay.  `after` is called with an epoch's line of the log and its weights.
     """
     spark, log, best, least = rows.sparkSession, [], weights, None
     good = rows.where("ids is not null and label_id in (0, 1)").select("ids", F.col("label_id").cast("int").alias("label_id"))
@@ -115,6 +115,8 @@ def train(rows: DataFrame, weights: dict[str, np.ndarray], epochs: int = 15, bat
             if least is None or line["held_loss"] < least - slack:
                 best, least = weights, line["held_loss"]
         log.append(line)
+        if after:
+            after(line, weights)
     return best, log
 
 

@@ -6,6 +6,8 @@ from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.operators import subwords
+
 #: Production parameters: numbers of a vector, words around a word, passes, least occurrences of a word.
 SIZE, AROUND, PASSES, LEAST = 256, 10, 25, 1
 
@@ -34,6 +36,23 @@ def only_vectors(vocabulary: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(vocabulary.select("word"), "word", "left_anti")
 
 
+def job(texts: DataFrame, text: Column, pieces: str, folder: str, **parameters) -> DataFrame:  # noqa: ANN003
+    """The whole job: texts as ids of a subword vocabulary, vectors of these, merged with the vocabulary and saved in a folder.
+
+    Returns the saved table: id, word (the piece), vec and missing.  Further parameters are those of fit().
+    """
+    spark = texts.sparkSession
+    lines = texts.select(subwords.piece_ids(text, pieces).cast("array<string>").alias("words")).where("words is not null")
+    vectors = word_vectors(fit(lines, **parameters))
+    size = parameters.get("size", SIZE)
+    one = subwords.processor(pieces)
+    vocabulary = spark.createDataFrame([(str(k), k) for k in range(one.get_piece_size())], "word string, id int")  # the vocabulary's size
+    names = spark.createDataFrame([(k, one.id_to_piece(k)) for k in range(one.get_piece_size())], "id int, piece string")
+    found = merged(vocabulary, vectors, size).join(names, "id").select("id", F.col("piece").alias("word"), "vec", "missing")
+    found.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(found.schema).parquet(folder)
+
+
 def corpus_counts(lines: DataFrame, text: Column, kept: Column, cyrillic: Column) -> DataFrame:
     """One row: lines, those with a letter from U+0400 on, and those that are kept."""
     return lines.agg(F.count("*").alias("lines"), F.count_if(cyrillic).alias("cyrillic"), F.count_if(kept & text.isNotNull()).alias("kept"))

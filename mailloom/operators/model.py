@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,11 @@ def scores(rows: DataFrame, weights: dict[str, np.ndarray], id_col: str, ids_col
     return rows.select(F.col(id_col).cast("bigint").alias("idx"), filled.alias("ids")).mapInArrow(run, "idx bigint, score double")
 
 
+def scorer(weights: dict[str, np.ndarray], tokenize: Callable[[Column], Column], length: int = LENGTH) -> Callable[[DataFrame, str, str], DataFrame]:
+    """A function that scores the texts of a table: idx and score.  tokenize turns texts into ids and can be any column function."""
+    return lambda rows, id_col, text_col: scores(rows.select(id_col, tokenize(F.col(text_col)).alias("_ids")), weights, id_col, "_ids", length)
+
+
 #: Rows of a block of queries or of vectors, about.
 BLOCK = 4096
 

@@ -178,6 +178,19 @@ g AS (SELECT doc_id, CASE WHEN k = '' THEN -1 WHEN doc_id = min(doc_id) OVER w T
 SELECT g.doc_id, coalesce(v.n, 0) > 5 AS v, h > 1 AS h FROM g LEFT JOIN v USING (doc_id)"""
 
 
+def search_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields g (greylisting) and h (the raw header) of an indexed mailbox, and the size of bodies (s)."""
+    box = _mailbox(spark, sf_dir).withColumn("head", F.decode(F.substring("raw", 1, 1 << 16), "UTF-8"))
+    rows = mailbox.index(box).join(box.select("path", "fpos", F.split_part("head", F.lit("\n\n"), F.lit(1)).alias("head")), ["path", "fpos"])
+    grey = F.col("headers")["x-grey-ng"]
+    fields = {"g": lookup.grey_label(grey, F.lit(None).cast("string"), F.lit(""), F.lit("")), "h": F.col("head")}
+    found = search.predicate("g:1.e", fields, {}) | search.predicate("h:| b 77", fields, {})
+    return rows.where(found & search.predicate("s>200", {}, {"s": F.col("size") - F.col("hsize")})).select("subject")
+
+
+SEARCH_HEADERS_SQL = f"SELECT '[SPAM] a | b ' || doc_id AS subject FROM documents WHERE (contains('0.1.' || lang, '1.e') OR contains('| b ' || doc_id, '| b 77')) AND strlen({BODY_SQL}) > 200"
+
+
 def grey_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey") * 5000
     country = F.when(F.col("c_custkey") % 2 == 0, "United States of America").otherwise(F.col("c_name"))
@@ -312,6 +325,7 @@ def queries(routes: str) -> dict:
         (goto_line, "SELECT doc_id, n_chars FROM documents WHERE doc_id = 42"),
         (any_flag, "SELECT lang, bool_or(doc_id % 11 = 0) AS some FROM documents GROUP BY lang"),
         (search_groups, SEARCH_GROUPS_SQL),
+        (search_headers, SEARCH_HEADERS_SQL),
         (grey_labels, GREY_SQL),
         (saved_state, STATE_SQL),
         (vector_lines, VECTOR_SQL),

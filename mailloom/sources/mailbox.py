@@ -224,3 +224,21 @@ def appended(known: DataFrame, found: DataFrame, key: str) -> DataFrame:
     mark = known.agg(F.max(key).alias("_mark"))
     fresh = found.crossJoin(F.broadcast(mark)).where(F.col("_mark").isNull() | (F.col(key) > F.col("_mark"))).drop("_mark")
     return known.unionByName(fresh)
+
+
+def look_alikes(spark: SparkSession, path: str) -> dict[str, str]:
+    """A table of characters and what they look like, from lines of both with a tab between; no more than there are characters."""
+    cells = F.split("value", "\t", 2)
+    rows = spark.read.text(path).select(F.get(cells, F.lit(0)).alias("a"), F.get(cells, F.lit(1)).alias("b")).where("length(a) = 1 and b is not null")
+    return {r.a: r.b for r in rows.collect()}
+
+
+def id_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """words: the blank-separated parts of each line of files, an array of string."""
+    return spark.read.text(path).select(F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("words"))
+
+
+def word_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """id, word and vec of a saved table of vectors, in which id 0 is for no word and its vector is zeros."""
+    rows = spark.read.parquet(path).select(F.col("id").cast("int").alias("id"), "word", F.col("vec").cast("array<float>").alias("vec"))
+    return rows.withColumn("vec", F.when(F.col("id") == 0, F.transform("vec", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("vec")))

@@ -202,6 +202,29 @@ def test_word_vectors(spark):
     assert {r.word for r in embedding.only_vectors(words, vectors).collect()} == set("bcd")
 
 
+def test_vectors_of_pieces(spark, tmp_path):
+    texts = spark.createDataFrame([("some words here and some words there",), (None,)], "text string")
+    found = embedding.job(texts, F.col("text"), messages.PIECES, str(tmp_path / "v"), size=4, passes=1)
+    ids = set(subwords.processor(messages.PIECES).encode("some words here and some words there"))
+    assert found.count() == 32_000 and {r.id for r in found.where("not missing").collect()} == ids
+    back = mailbox.word_matrix(spark, str(tmp_path / "v"))
+    assert list(back.where("id = 0").first().vec) == [0.0] * 4
+    (tmp_path / "ids").write_text("1 2  3\n\n4\n")
+    assert [r.words for r in mailbox.id_corpus(spark, str(tmp_path / "ids")).collect()] == [["1", "2", "3"], [], ["4"]]
+    (tmp_path / "alike").write_text("é\te\nж\tzh\n")
+    table = mailbox.look_alikes(spark, str(tmp_path / "alike"))
+    assert tokens.without_accents("éжőa", table) == "ezha" and tokens.without_accents("éжőa㈀") == "eoa"
+
+
+def test_scorer_and_callback(spark):
+    w, seen = model.fresh(40, 4), []
+    score = model.scorer(w, lambda t: F.transform(F.split(t, " "), lambda x: x.cast("int")), 8)
+    rows = spark.createDataFrame([(7, "1 2 3"), (8, "4 5")], "k bigint, text string")
+    assert {r.idx for r in score(rows, "k", "text").collect()} == {7, 8}
+    cnn_training.train(spark.createDataFrame([([1, 2], 1), ([3], 0)], "ids array<int>, label_id int"), w, epochs=2, batch=2, length=8, after=lambda line, now: seen.append(line["epoch"]))
+    assert seen == [0, 1]
+
+
 def test_frames(spark):
     frame = lambda c, p=b"": struct.pack(">I", len(p) + 1) + c + p
     raw = frame(b"L", b"A\0b\0") + frame(b"B", b"\xff\n") + frame(b"E") + frame(b"Q") + frame(b"B", b"late")
