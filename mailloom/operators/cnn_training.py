@@ -120,6 +120,20 @@ def train(rows: DataFrame, weights: dict[str, np.ndarray], epochs: int = 15, bat
     return best, log
 
 
+def grid(rows: DataFrame, held: DataFrame, weights: dict[str, np.ndarray], rates: list[float], drops: list[float], **parameters) -> tuple[dict[str, np.ndarray], list[dict]]:  # noqa: ANN003
+    """The weights of the best of all pairs of a rate and a share of dropped ids, by the held-out loss, and a line for each: rate, drop and
+    the log's line of its best epoch.  Further parameters are those of train()."""
+    best, lines = weights, []
+    for rate in rates:
+        for drop in drops:
+            found, log = train(rows, weights, rate=rate, drop=drop, held=held, **parameters)
+            line = {"start": rate, "drop": drop, **min(log, key=lambda x: x["held_loss"])}
+            if not lines or line["held_loss"] < min(x["held_loss"] for x in lines):
+                best = found
+            lines.append(line)
+    return best, lines
+
+
 def test(rows: DataFrame, weights: dict[str, np.ndarray], length: int = model.LENGTH) -> dict:
     """held_loss, held_accuracy and cost of labelled rows of ids."""
     numbered = rows.where("ids is not null and label_id in (0, 1)").select(F.monotonically_increasing_id().alias("at"), F.col("label_id"), "ids")

@@ -17,6 +17,10 @@ from mailloom.sources import mailbox
 from mailloom.streaming import sessions
 
 
+#: A map of characters that keeps Latin ones.
+CHARACTERS = {chr(c): chr(c) for c in range(32, 0x250)} | {"’": "'", "“": '"', "”": '"', "…": "..."}
+
+
 def each(function, text: Column, kind: str = "string", arrow: pa.DataType = pa.string()) -> Column:  # noqa: ANN001, B008
     """A function of one value over a column; null for null."""
 
@@ -72,6 +76,10 @@ def best_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mailbox.best_texts(_raw_mails(spark, sf_dir), "page_id")
 
 
+def mail_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mailbox.previews(_raw_mails(spark, sf_dir), "page_id")
+
+
 def header_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as encoded words of up to 30 characters, one after the other."""
     word = lambda t: F.concat(F.lit("=?utf-8?B?"), F.replace(F.base64(F.encode(t, "utf-8")), F.lit("\r\n"), F.lit("")), F.lit("?="))
@@ -95,7 +103,8 @@ def tokens_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preprocess_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", each(tokens.normalize, F.col("text")).alias("text"))
+    """Pairs of a source and a text as what a classifier reads, with a map of characters; others are left out."""
+    return _docs(spark, sf_dir).select("doc_id", each(lambda x: tokens.normalize(x, CHARACTERS), F.concat("source", F.lit("|\n"), "text")).alias("text"))
 
 
 def display_width(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +167,7 @@ QUERIES = {
         (html_charset, CHARSET_SQL),
         (mime_parts, PARTS_SQL),
         (best_text, None),
+        (mail_previews, None),
         (header_decode, "SELECT doc_id, text AS header FROM documents"),
         (address_split, "SELECT doc_id, lang || '@x.org' AS addr, source AS name FROM documents"),
         (split_lossless, LOSSLESS_SQL),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.functions import mail
+from mailloom.functions import text as T
 from mailloom.session import in_order
 
 
@@ -173,6 +174,22 @@ def best_texts(mails: DataFrame, id_col: str, raw_col: str = "raw") -> DataFrame
     return mails.select(F.col(id_col).alias("idx"), run(F.col(raw_col)).alias("f")).select("idx", "f.subject", "f.text")
 
 
+def previews(mails: DataFrame, id_col: str, raw_col: str = "raw") -> DataFrame:
+    """idx, subject and preview of each message: its best text without invisible characters, with single blanks."""
+    return best_texts(mails, id_col, raw_col).select("idx", "subject", T.collapse(T.visible(F.coalesce("text", F.lit("")))).alias("preview"))
+
+
+def smoke_lines(spark: SparkSession, path: str) -> DataFrame:
+    """subject and body of all lines "subject|body" of files; a line without a bar is a subject."""
+    both = F.split("value", r"\|", 2)
+    return spark.read.text(path).select(F.get(both, F.lit(0)).alias("subject"), F.get(both, F.lit(1)).alias("body"))
+
+
+def plain_lines(spark: SparkSession, path: str, label_id: int, split: str) -> DataFrame:
+    """text, label_id and split of all lines of files, none left out or cut."""
+    return spark.read.text(path).select(F.col("value").alias("text"), F.lit(label_id).alias("label_id"), F.lit(split).alias("split"))
+
+
 def labelled_lines(spark: SparkSession, path: str, label_id: int, split: str, least: int = 10, most: int = 1024) -> DataFrame:
     """subject, body, label_id and split of a file's lines of "subject|body"; lines of fewer characters (the line end counts) are left out, longer ones cut."""
     line = F.substring("value", 1, most)

@@ -178,6 +178,8 @@ def test_training(spark):
     best, log = cnn_training.train(table, model.fresh(40, 8), epochs=4, batch=32, rate=3e-3, held=table, length=30)
     assert len(log) == 4 and log[-1]["loss"] < log[0]["loss"] and log[-1]["held_accuracy"] > 0.9
     assert cnn_training.test(table, best, 30)["held_loss"] == min(x["held_loss"] for x in log)
+    _, lines = cnn_training.grid(table, table, model.fresh(40, 8), [3e-3, 1e-5], [0.0, 0.1], epochs=2, batch=32, length=30)
+    assert len(lines) == 4 and min(lines, key=lambda x: x["held_loss"])["start"] == 3e-3
     same, none = cnn_training.train(table.limit(0), best, epochs=1, length=30)
     assert same is best and none == []
 
@@ -254,6 +256,13 @@ def test_saved_is_a_column(spark):
     assert [r.save for r in training.saved(rows).orderBy("epoch").collect()] == [False, True]
 
 
+def test_lines(spark, tmp_path):
+    (tmp_path / "a").write_text("sub|bo|dy\nx\n")
+    assert [tuple(r) for r in mailbox.smoke_lines(spark, str(tmp_path / "a")).collect()] == [("sub", "bo|dy"), ("x", None)]
+    assert [tuple(r) for r in mailbox.plain_lines(spark, str(tmp_path / "a"), 1, "val").collect()] == [("sub|bo|dy", 1, "val"), ("x", 1, "val")]
+    assert [r.number for r in mailbox.text_lines(spark, str(tmp_path / "a")).orderBy("number").collect()] == [1, 2]
+
+
 def test_width(spark):
     text = "a字​\n\0­ｱx"
     want = sum(tokens.char_width(c) for c in text)

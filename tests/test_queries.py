@@ -166,7 +166,7 @@ def test_differences_of_the_table(spark):
 
 
 def test_texts_of_the_pages(spark):
-    from mailloom.functions import html, mail, payload
+    from mailloom.functions import html, mail, payload, text
     from mailloom.plans import parsing
 
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
@@ -177,14 +177,19 @@ def test_texts_of_the_pages(spark):
     raw = {r.page_id: bytes(r.raw) for r in parsing._raw_mails(spark, DIR).collect()}
     found = {r.idx: (r.subject, r.text) for r in QUERIES["best_text"](spark, DIR).collect()}
     assert found == {k: mail.best_text(mail.parse(x)) for k, x in raw.items()}
+    shown = {r.idx: r.preview for r in QUERIES["mail_previews"](spark, DIR).collect()}
+    gone = dict.fromkeys(map(ord, text.INVISIBLE))
+    assert shown == {k: " ".join(t.translate(gone).split()) for k, (_, t) in found.items()}
 
 
 def test_tokens_of_the_table(spark):
     from mailloom.functions import tokens
+    from mailloom.plans.parsing import CHARACTERS
 
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    table = spark.read.parquet(f"{DIR}/documents.parquet").collect()
+    texts = {r.doc_id: r.text for r in table}
     assert {r.doc_id: r.tokens for r in QUERIES["tokens_v1"](spark, DIR).collect()} == {k: " ".join(tokens.hide_digits(t)) for k, t in texts.items()}
-    assert {r.doc_id: r.text for r in QUERIES["preprocess_v2"](spark, DIR).collect()} == {k: tokens.normalize(t) for k, t in texts.items()}
+    assert {r.doc_id: r.text for r in QUERIES["preprocess_v2"](spark, DIR).collect()} == {r.doc_id: tokens.normalize(tokens.join_pair(r.source, r.text), CHARACTERS) for r in table}
 
 
 def test_neighbours_of_words(spark):
