@@ -149,8 +149,9 @@ def similar_pairs(rows: DataFrame, least: float = 0.95, id_col: str = "doc_id",
     pairs that share such a token are compared.
     """
     line = F.lower(T.scrub(T.collapse(F.coalesce(F.col(text_col), F.lit("")))))
-    base = written(rows.select(F.col(id_col).alias("idx"), line.alias("line")).where("line <> ''").withColumn("first", F.min("idx").over(W.partitionBy("line"))), "similar-lines")
-    tokens = written(base.where("idx = first").select("idx", lossless(F.col("line")).alias("tokens")), "similar-tokens")
+    base = written(rows.select(F.col(id_col).alias("idx"), line.alias("line")).where("line <> ''").withColumn("key", _digest(F.col("line"))), "similar-lines")
+    first = base.groupBy("key").agg(F.min("idx").alias("idx")).select("idx")
+    tokens = written(base.join(first, "idx", "left_semi").select("idx", lossless(F.col("line")).alias("tokens")), "similar-tokens")
     each = tokens.select("idx", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).groupBy("idx", "n", "t").agg(F.count("*").alias("k"))
     each = each.select("idx", "n", "t", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("k"))
     often = each.groupBy("t", "k").agg(F.count("*").alias("df"))
@@ -181,9 +182,10 @@ def similar(rows: DataFrame, least: float = 0.95, id_col: str = "doc_id", text_c
     owner = pairs.join(state.where("base").select(F.col("idx").alias("a")), "a").groupBy("b").agg(F.min("a").alias("owner"))
     owner = owner.join(state.where("not base").select(F.col("idx").alias("b")), "b")
     line = F.lower(T.scrub(T.collapse(F.coalesce(F.col(text_col), F.lit("")))))
-    same = W.partitionBy("line")
     lines = rows.select(F.col(id_col).alias("idx"), line.alias("line"))
-    first = lines.where("line <> ''").select("idx", F.min("idx").over(same).alias("first")).unionByName(lines.where("line = ''").select("idx", F.col("idx").alias("first")))
+    own = F.encode(F.col("idx").cast("string"), "UTF-8")
+    keyed = written(lines.select("idx", F.when(F.col("line") != "", _digest(F.col("line"))).otherwise(own).alias("key")), "similar-keys")
+    first = keyed.join(keyed.groupBy("key").agg(F.min("idx").alias("first")), "key").select("idx", "first")
     return first.join(owner, first["first"] == owner["b"], "left").select("idx", F.coalesce("owner", "first").alias("base"))
 
 
@@ -200,8 +202,9 @@ def shingled(rows: DataFrame, width: int = 7, most: float = 0.8, id_col: str = "
     state = written(lists.select("idx", F.when(F.col("n") <= 0, True).alias("accepted")), "shingle-state")
     while not state.where("accepted is null").isEmpty():
         marked = each.join(state, "idx")
-        before = W.partitionBy("s").orderBy("idx").rangeBetween(W.unboundedPreceding, -1)
-        seen = marked.select("idx", "n", F.bool_or(F.coalesce("accepted", F.lit(False))).over(before).alias("kept"), F.bool_or(F.col("accepted").isNull()).over(before).alias("open"))
+        # Of each shingle, the first message that is accepted and the first that is open tell whether there is one before.
+        least = marked.groupBy("s").agg(F.min(F.when(F.col("accepted"), F.col("idx"))).alias("kept"), F.min(F.when(F.col("accepted").isNull(), F.col("idx"))).alias("open"))
+        seen = marked.join(least, "s").select("idx", "n", (F.col("kept") < F.col("idx")).alias("kept"), (F.col("open") < F.col("idx")).alias("open"))
         sums = seen.groupBy("idx", "n").agg(F.count_if("kept").alias("kept"), F.count_if(F.coalesce("kept", F.lit(False)) | F.coalesce("open", F.lit(False))).alias("may"))
         verdict = F.when(F.col("kept") > most * F.col("n"), False).when(F.col("may") <= most * F.col("n"), True)
         now = state.join(sums.select("idx", verdict.alias("now")), "idx", "left")
