@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailloom.llm import store
 
 
+def _with_least(links: DataFrame) -> DataFrame:
+    """u, v and m, the least v of u; by an aggregate that is joined, so the links of one node needn't be in one task."""
+    return links.join(links.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node and root for each node of links (src, dst) but the roots: the least node that links connect it to.
 
@@ -19,9 +23,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least("u", F.min("v").over(W.partitionBy("u")))
-        large = both.select("u", "v", low.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.select("u", "v", F.min("v").over(W.partitionBy("u")).alias("m"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        least = _with_least(large)
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
         small = least.select(F.explode(pairs).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
         last, now = now, store.written(small, "components")

@@ -256,10 +256,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     """
     sigs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), signature(F.col(text_col)).alias("s"))
     sigs = store.written(sigs.select("doc_id", "s.hi", "s.lo"), "simhash")
-    one = sigs.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("s")).select("doc_id", "s.hi", "s.lo")
-    reps = store.written(one.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.collect_list("doc_id").alias("members")), "simhash-reps")
-    joined = components(store.written(links(reps.select("id", "hi", "lo"), limit=limit), "simhash-links"))
-    named = reps.join(joined, reps["id"] == joined["node"], "left").select(F.explode("members").alias("doc_id"), F.coalesce("root", "id").alias("group_id"))
+    one = store.written(sigs.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("s")).select("doc_id", "s.hi", "s.lo"), "simhash-one")
+    reps = store.written(one.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("id")), "simhash-reps")
+    joined = components(store.written(links(reps, limit=limit), "simhash-links"))
+    roots = reps.join(joined, reps["id"] == joined["node"], "left").select("hi", "lo", F.coalesce("root", "id").alias("group_id"))
+    named = one.join(roots, ["hi", "lo"]).select("doc_id", "group_id")
     alone = one.where("hi is null").select("doc_id", F.col("doc_id").alias("group_id"))
     return named.unionByName(alone).select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
 
