@@ -165,19 +165,41 @@ def join_paths(graph: DataFrame, settled: int = SETTLED) -> tuple[DataFrame, lis
     return taken, [*moves, rest.where("kind = 1").select(F.col("a").alias("path"), F.col("b").alias("root"))]
 
 
-def paths(graph: DataFrame, nodes: DataFrame, settled: int = SETTLED) -> DataFrame:
+def far_steps(ways: DataFrame) -> DataFrame:
+    """key, end and step: for each node of some paths (key, to: both directions of each link) and each end that isn't the node, the number of links to it.
+
+    Each direction of a link knows the one that follows it and how many links that is on; a round doubles how far it sees.
+    """
+    one, two = ways.toDF("a", "b"), ways.toDF("x", "c")
+    state = one.join(two, (F.col("b") == F.col("x")) & (F.col("a") != F.col("c")), "left").select("a", "b", F.col("x").alias("na"), F.col("c").alias("nb"), F.lit(1).cast("bigint").alias("n"), "b")
+    state = store.written(state.toDF("a", "b", "na", "nb", "n", "end"), "packing-steps")
+    while not state.where("na is not null").isEmpty():
+        later = state.toDF("na", "nb", "la", "lb", "ln", "lend")
+        state = state.join(later, ["na", "nb"], "left").select("a", "b", F.col("la").alias("na"), F.col("lb").alias("nb"), (F.col("n") + F.coalesce("ln", F.lit(0))).alias("n"), F.coalesce("lend", "end").alias("end"))
+        state = store.written(state, "packing-steps")
+    return state.select(F.col("a").alias("key"), "end", F.col("n").alias("step"))
+
+
+def paths(graph: DataFrame, nodes: DataFrame, settled: int = SETTLED, long: int = BLOCK) -> DataFrame:
     """block, key, cell, path and step of all nodes (key, cell, group); graph has the links (d, u, v).
 
-    A path lies in the block and at the cell of its least node, whose key names it.
+    A path lies in the block and at the cell of its least node, whose key names it.  Its steps are counted from the lesser of its two ends:
+    in a task for all of a part of a block, but for paths of more than `long` nodes, whose steps are counted in rounds (far_steps()).
     """
     taken, moves = join_paths(graph, settled)
     named = nodes.select("key", F.col("key").alias("path"))
     for move in moves:
         named = named.join(move, "path", "left").select("key", F.coalesce("root", "path").alias("path"))
-    ways = taken.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("w")).select(F.col("w.u").alias("key"), F.col("w.v").alias("to"))
-    ways = ways.groupBy("key").agg(F.collect_list("to").alias("to"))
+    named = store.written(named, "packing-named")
+    sizes = named.groupBy("path").agg(F.count("*").alias("nodes"))
+    both = taken.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("w")).select(F.col("w.u").alias("key"), F.col("w.v").alias("to"))
+    both = store.written(both, "packing-ways")
     first = nodes.select(F.col("key").alias("path"), "cell", F.col("group").alias("block"))
-    whole = named.join(ways, "key", "left").join(first, "path").select("block", "cell", "path", "key", F.coalesce("to", F.array().cast("array<bigint>")).alias("to"))
+    placed = named.join(first.join(sizes, "path"), "path")
+    ways = both.groupBy("key").agg(F.collect_list("to").alias("to"))
+    parts = placed.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    whole = placed.where(F.col("nodes") <= long).join(ways, "key", "left").join(parts, "block")
+    whole = whole.select("block", F.pmod(F.xxhash64("path"), "parts").alias("part"), "cell", "path", "key", F.coalesce("to", F.array().cast("array<bigint>")).alias("to"))
 
     def run(block: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -192,7 +214,15 @@ def paths(graph: DataFrame, nodes: DataFrame, settled: int = SETTLED) -> DataFra
         steps = pa.array([step[k] for k in keys], pa.int64())
         yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("block", "key", "cell", "path")), steps], ["block", "key", "cell", "path", "step"])
 
-    return whole.groupBy("block").applyInArrow(run, "block int, key bigint, cell int, path bigint, step bigint")
+    found = whole.groupBy("block", "part").applyInArrow(run, "block int, key bigint, cell int, path bigint, step bigint")
+    far = sizes.where(F.col("nodes") > long)
+    if far.isEmpty():
+        return found
+    apart = store.written(placed.where(F.col("nodes") > long), "packing-far")
+    steps = far_steps(both.join(apart.select("key"), "key", "left_semi"))
+    start = steps.join(apart.select("key", "path"), "key").groupBy("path").agg(F.min("end").alias("end"))
+    counted = apart.join(start, "path").join(steps, ["key", "end"], "left").select("block", "key", "cell", "path", F.coalesce("step", F.lit(0)).alias("step"))
+    return found.unionByName(counted)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

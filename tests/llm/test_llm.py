@@ -465,11 +465,14 @@ def test_links_across_blocks(spark):
     want, path = brute_paths(links)
     graph = spark.createDataFrame(links, "d double, u bigint, v bigint").repartition(4)
     nodes = spark.createDataFrame([(k, k % 7, k % 3) for k in range(n)], "key bigint, cell int, group int")
-    for settled in (10**6, 40):
-        got = packing.paths(graph, nodes, settled).toPandas().sort_values(["block", "cell", "path", "step"])
+    steps = []
+    for settled, long in ((10**6, 10**6), (40, 3)):
+        got = packing.paths(graph, nodes, settled, long).toPandas().sort_values(["block", "cell", "path", "step"])
+        steps.append(got.set_index("key").step.to_dict())
         assert sorted(got.key) == list(range(n)) and all(min(path.get(k, {k})) == p for k, p in zip(got.key, got.path))
         beside = {tuple(sorted((a, b))) for a, b, p, q in zip(got.key, got.key[1:], got.path, got.path[1:]) if p == q}
         assert beside == set(want) and any(u % 3 != v % 3 for u, v in want)
+    assert steps[0] == steps[1] and max(steps[0].values()) > 3
 
 
 def test_packing(docs, odd, none):
