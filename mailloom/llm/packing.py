@@ -62,46 +62,26 @@ def vectors(docs: DataFrame, dims: int = DIMS, id_col: str = "doc_id", text_col:
     return rows.withColumn("moved", moved).withColumn("length", length).select("row", "id", "n_chars", unit.alias("vec"))
 
 
-def walk(near: dict[int, list[int]], gaps: dict[tuple[int, int], float]) -> list[list[int]]:
-    """Paths that cover the nodes of a graph.
-
-    near has the nodes that each node names as its neighbours; a link holds both ways and those to other nodes don't count.  A path
-    begins at the node of the lowest degree that no path has (then of the lowest number), goes on to the nearest such neighbour (then
-    that of the lowest number), and ends where there is none.
-    """
-    links: dict[int, dict[int, float]] = {u: {} for u in near}
-    for u, others in near.items():
-        for v in others:
-            if v != u and v in links:
-                links[u][v] = links[v][u] = gaps[u, v]
-    paths, done = [], set()
-    for start in sorted(links, key=lambda u: (len(links[u]), u)):
-        path, at = [], start
-        while at is not None and at not in done:
-            done.add(at)
-            path.append(at)
-            at = min(((d, v) for v, d in links[at].items() if v not in done), default=(0.0, None))[1]
-        if path:
-            paths.append(path)
-    return paths
-
-
-_STATE = "d double, u bigint, v bigint, pu bigint, pv bigint, fu int, fv int"
-
-
 def links(near: DataFrame) -> DataFrame:
     """d, u, v (u the lesser) of a graph (key, near: structs of a squared distance d and a key): each link once, with its least distance."""
     each = near.select("key", F.explode("near").alias("n")).select("key", F.col("n.key").alias("to"), F.col("n.d").alias("d")).where("key <> to")
     return each.groupBy(F.least("key", "to").alias("u"), F.greatest("key", "to").alias("v")).agg(F.min("d").alias("d")).select("d", "u", "v")
 
 
-def settle(d: np.ndarray, u: np.ndarray, v: np.ndarray, pu: np.ndarray, pv: np.ndarray, fu: np.ndarray, fv: np.ndarray) -> tuple[list[int], dict[int, int]]:
-    """The links (their places) that join paths, taken from the shortest on (then by u and v), and the path that each joined path becomes part of.
+def ranked(graph: DataFrame) -> DataFrame:
+    """g, d, u and v of links (d, u, v): g is the lesser of the degrees of a link's ends, which is what links are taken by first."""
+    degree = graph.select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    both = graph.join(degree.toDF("u", "nu"), "u").join(degree.toDF("v", "nv"), "v")
+    return both.select(F.least("nu", "nv").alias("g"), "d", "u", "v")
+
+
+def settle(g: np.ndarray, d: np.ndarray, u: np.ndarray, v: np.ndarray, pu: np.ndarray, pv: np.ndarray, fu: np.ndarray, fv: np.ndarray) -> tuple[list[int], dict[int, int]]:
+    """The links (their places) that join paths, taken by g, then d, u and v, and the path that each joined path becomes part of.
 
     A link counts if each of its ends is an end of a path, and those are two paths.  pu and pv are the ends' paths, fu and fv how many
     more links the ends may have.
     """
-    order = np.lexsort((v, u, d))
+    order = np.lexsort((v, u, d, g))
     free: dict[int, int] = dict(zip(u.tolist(), fu.tolist())) | dict(zip(v.tolist(), fv.tolist()))
     root: dict[int, int] = {}
 
@@ -127,14 +107,16 @@ def settle(d: np.ndarray, u: np.ndarray, v: np.ndarray, pu: np.ndarray, pv: np.n
 def join_paths(graph: DataFrame, settled: int = SETTLED) -> tuple[DataFrame, list[DataFrame]]:
     """u and v of the links that make the paths of a graph (d, u, v), and tables of path and root, to be applied in turn.
 
-    All links of the graph count, wherever their ends are: the shortest link (then of the least u, then v) that joins ends of two paths is
-    taken, again and again.  A path is named by its least node.  While there are more than `settled` links, a round takes those that are
-    the shortest of both of their paths, which that order would take as well; one task then settles the rest.
+    Low degrees come first: of the links that join ends of two paths, the one is taken that has an end of the least degree, then the
+    shortest (then that of the least u, then v), again and again; so nodes with few links get a place beside a neighbour before their
+    neighbours have none left.  All links of the graph count, wherever their ends are.  A path is named by its least node.  While there are
+    more than `settled` links, a round takes those that are the first of both of their paths, which that order would take as well; one
+    task then settles the rest.
     """
-    live = store.written(graph.select("d", "u", "v", F.col("u").alias("pu"), F.col("v").alias("pv"), F.lit(2).alias("fu"), F.lit(2).alias("fv")), "packing-links")
+    live = store.written(ranked(graph).select("g", "d", "u", "v", F.col("u").alias("pu"), F.col("v").alias("pv"), F.lit(2).alias("fu"), F.lit(2).alias("fv")), "packing-links")
     found, moves = [], []
     while live.count() > settled:
-        link = F.struct("d", "u", "v", "pu", "pv").alias("link")
+        link = F.struct("g", "d", "u", "v", "pu", "pv").alias("link")
         best = live.select(F.explode(F.array("pu", "pv")).alias("path"), link).groupBy("path").agg(F.min("link").alias("link"))
         both = best.groupBy("link").agg(F.count("*").alias("n")).where("n = 2").select("link.*")
         both = store.written(both, "packing-taken")
@@ -152,13 +134,13 @@ def join_paths(graph: DataFrame, settled: int = SETTLED) -> tuple[DataFrame, lis
         held = [b for b in batches if b.num_rows]
         if held:
             table = pa.Table.from_batches(held)
-            d, u, v, pu, pv, fu, fv = (table[c].to_numpy() for c in ("d", "u", "v", "pu", "pv", "fu", "fv"))
-            taken, root = settle(d, u, v, pu, pv, fu, fv)
+            taken, root = settle(*(table[c].to_numpy() for c in ("g", "d", "u", "v", "pu", "pv", "fu", "fv")))
+            u, v = table["u"].to_numpy(), table["v"].to_numpy()
             for kind, x, y in ((0, u[taken], v[taken]), (1, list(root), list(root.values()))):
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(x), pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["kind", "a", "b"])
 
     # At most `settled` links, in one task.
-    rest = store.written(live.select("d", "u", "v", "pu", "pv", "fu", "fv").coalesce(1).mapInArrow(run, "kind int, a bigint, b bigint"), "packing-settled")
+    rest = store.written(live.select("g", "d", "u", "v", "pu", "pv", "fu", "fv").coalesce(1).mapInArrow(run, "kind int, a bigint, b bigint"), "packing-settled")
     taken = rest.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
     for one in found:
         taken = taken.unionByName(one)

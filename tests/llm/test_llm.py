@@ -1,8 +1,8 @@
 """The language-model data operators against brute force, round trips and held-out accuracy, with nulls, empty and long texts, ties and clashing names."""
 
-import heapq
 import os
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -423,32 +423,10 @@ def test_secrets_in_the_table(docs):
 # 9
 
 
-def brute_walk(near, gap):
-    links = {u: {v for v in near[u] if v in near and v != u} | {v for v in near if u in near[v] and v != u} for u in near}
-    out, left = [], set(near)
-    while left:
-        u = min(left, key=lambda x: (len(links[x]), x))
-        path = []
-        while u is not None:
-            left.discard(u)
-            path.append(u)
-            u = min((v for v in links[u] if v in left), key=lambda v: (gap(path[-1], v), v), default=None)
-        out.append(path)
-    return out
-
-
-def test_walk():
-    rng = np.random.default_rng(5)
-    for n in (1, 2, 30):
-        x = rng.random((n, 3)).round(1)
-        gap = lambda a, b: float(((x[a] - x[b]) ** 2).sum())  # noqa: E731, B023
-        near = {u: heapq.nsmallest(3, [v for v in range(n) if v != u], key=lambda v: (gap(u, v), v)) for u in range(n)}
-        assert packing.walk(near, {(u, v): gap(u, v) for u in near for v in near[u]}) == brute_walk(near, gap)
-
-
 def brute_paths(links):
     free, path, out = {}, {}, []
-    for _, u, v in sorted(links):
+    degree = Counter(x for _, u, v in links for x in (u, v))
+    for _, _, u, v in sorted((min(degree[u], degree[v]), d, u, v) for d, u, v in links):
         a, b = path.get(u, {u}), path.get(v, {v})
         if free.get(u, 2) and free.get(v, 2) and not a & b:
             out.append((u, v))
