@@ -80,11 +80,6 @@ def gram_counts(data: np.ndarray, off: np.ndarray, group: np.ndarray, groups: in
     return (key >> np.uint64(ORDER * bits)).astype(np.int64), gram, count
 
 
-def gram_text(code: int) -> str:
-    """The n-gram of a code."""
-    return "".join(chr(c) for k in range(ORDER) if (c := (code >> ((ORDER - 1 - k) * _CP_BITS)) & 0x1FFFFF))
-
-
 def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, gram (a code) and n over all documents of a language; rows whose language or text is null are left out."""
 
