@@ -10,7 +10,6 @@ from mailloom.functions.text import INVISIBLE, SCRUB_OLD
 
 #: Cyrillic letters that look like Latin ones.
 LOOK_ALIKE = str.maketrans("ЅІЈАВЕКМНОРСТХаеорсухѕіј", "SIJABEKMHOPCTXaeopcyxsij")
-_SPLIT = re.compile(r"((?:[^\W_]|(?<=\d)[:/.-])+)")
 
 
 def split_lossless(text: str) -> list[str]:
