@@ -251,6 +251,15 @@ def test_routes_over_batches(spark, tmp_path):
     assert len(got) == 10 and sum(x == "out" for x in got.values()) == 2 and sum(x == "short" for x in got.values()) == 1
 
 
+def test_keys_are_forgotten_in_time(spark):
+    rows = spark.createDataFrame([("a", 0), ("b", 10), ("a", 20), ("c", 30)], "key string, s int").withColumn("t", F.timestamp_seconds("s"))
+    stream = sessions.stream_folder(rows.coalesce(1), "timed")
+    found = sessions.drained(sessions.distinct_keys(stream, "key", "t", "1 hour"), "timed-out")
+    assert sorted(r.key for r in found.collect()) == ["a", "b", "c"]
+    # The state has a bound, which it hasn't without times.
+    assert "EventTimeWatermark" in sessions.distinct_keys(stream, "key", "t")._jdf.queryExecution().analyzed().toString()
+
+
 def test_saved_is_a_column(spark):
     rows = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.4)], "run int, epoch int, loss double")
     assert [r.save for r in training.saved(rows).orderBy("epoch").collect()] == [False, True]
