@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ BITS, TABLES, SAMPLE, MAX_DISTANCE = 128, 32, 14, 20
 #: A bucket of more signatures than this is split by additional bits, in so many ways that a pair at MAX_DISTANCE is apart in all of them
 #: with a chance of MISSED at most; half of that where a part is split again.
 BUCKET_CAP, MISSED = 256, 0.04
+#: A task holds a bucket of this many signatures at most (about 100 MB); larger ones are split before, by additional bits too.
+HELD = 1 << 22
 
 
 def signatures(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -192,24 +195,65 @@ def local_links(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     return nodes[away], nodes[least[away]]
 
 
-def links(reps: DataFrame, tables: int = TABLES, limit: int = MAX_DISTANCE) -> DataFrame:
+def spread(rows: DataFrame, depth: int, cap: int, limit: int, missed: float = MISSED) -> DataFrame:
+    """Rows (t, w, high, low: a table, a way and the masked halves of a signature; id, hi, lo) whose buckets of more than `cap` are split.
+
+    As in bucket_pairs(), such a bucket is split by additional bits in as many ways as ways() tells, again and again; here a row moves to
+    the parts that it is in, so that no task gets a bucket of more than `cap` rows.  Buckets of that size are rare: counting them is all
+    that it takes if there are none.
+    """
+    key = ["t", "w", "high", "low"]
+    while depth < BITS:
+        hot = store.written(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > cap), "simhash-hot")
+        most = hot.agg(F.max("n")).first()[0]
+        if most is None:
+            return rows
+        more = min(BITS - depth, max(1, int(np.ceil(np.log2(2 * most / cap)))))
+        n = ways(BITS - depth, more, limit, missed)
+        n = int(n) if np.isfinite(n) else 1
+        found = []
+        for r in hot.select("t", "w").distinct().collect():  # as many as there are tables and ways
+            used = _used(r["t"], r["w"])
+            rest = [x for x in coordinates(r["t"]) if x not in used]
+            for k in range(n):
+                bits = np.random.default_rng((8, r["t"], depth, k)).permutation(rest)[:more]
+                way = f"{r['w']}{'.' if r['w'] else ''}" + "-".join(map(str, sorted(bits.tolist())))
+                found.append((r["t"], r["w"], way, *mask(np.r_[sorted(used), bits].astype(np.int64))))
+        masks = F.broadcast(rows.sparkSession.createDataFrame(found, "t int, w string, way string, mhigh bigint, mlow bigint"))
+        split = rows.join(hot.select(*key), key, "left_semi").join(masks, ["t", "w"])
+        split = split.select("id", "hi", "lo", "t", F.col("way").alias("w"), F.col("hi").bitwiseAND(F.col("mhigh")).alias("high"), F.col("lo").bitwiseAND(F.col("mlow")).alias("low"))
+        rows = store.written(rows.join(hot.select(*key), key, "left_anti").select("id", "hi", "lo", *key).unionByName(split), "simhash-spread")
+        depth, missed = depth + more, missed / 2
+    return rows
+
+
+def _used(table: int, way: str) -> set[int]:
+    """The bits by which the rows of a way of a table have been told apart."""
+    return set(coordinates(table)[:SAMPLE].tolist()) | {int(x) for part in way.split(".") if part for x in part.split("-")}
+
+
+def links(reps: DataFrame, tables: int = TABLES, limit: int = MAX_DISTANCE, cap: int = HELD) -> DataFrame:
     """src and dst (dst the lesser): pairs that connect the near duplicates among distinct signatures (id, hi, lo)."""
     masks = [mask(coordinates(t)[:SAMPLE]) for t in range(tables)]
-    each = np.array(masks, np.int64).view(np.uint64)
     high, low = (F.col(c).bitwiseAND(F.get(F.array(*[F.lit(m[k]) for m in masks]), F.col("t"))) for k, c in enumerate(("hi", "lo")))
     rows = reps.select("id", "hi", "lo", F.explode(F.array(*map(F.lit, range(tables)))).alias("t"))
-    near = rows.repartition("t", high, low).sortWithinPartitions("t", high, low, "id")
+    rows = spread(rows.select("id", "hi", "lo", "t", F.lit("").alias("w"), high.alias("high"), low.alias("low")), SAMPLE, cap, limit)
+    near = rows.repartition("t", "w", "high", "low").sortWithinPartitions("t", "w", "high", "low", "id")
 
     def bucket(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tables, signatures, and what tells buckets apart: table, way and masked signature."""
         t = part["t"].to_numpy()
         sig = np.stack([part["hi"].to_numpy(), part["lo"].to_numpy()], 1).view(np.uint64)
-        return t, sig, sig & each[t]
+        way = pc.binary_length(part["w"]).to_numpy()
+        if way.any():  # few rows have one
+            way = np.array([hash(x) if x else 0 for x in part["w"].to_pylist()], np.int64)
+        return t, sig, np.stack([t.astype(np.int64), way.astype(np.int64), part["high"].to_numpy(), part["low"].to_numpy()], 1)
 
     def run(batches):  # noqa: ANN001, ANN202
         def done(part: pa.Table) -> pa.RecordBatch:
             t, sig, key = bucket(part)
             ids = part["id"].to_numpy()
-            group = np.cumsum(np.r_[False, (t[1:] != t[:-1]) | (key[1:] != key[:-1]).any(1)])
+            group = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(1)])
             a, b = [], []
             size = np.bincount(group)
             plain = np.flatnonzero(((size > 1) & (size <= BUCKET_CAP))[group])
@@ -227,13 +271,13 @@ def links(reps: DataFrame, tables: int = TABLES, limit: int = MAX_DISTANCE) -> D
         held: list[pa.Table] = []
         for batch in batches:
             part = pa.Table.from_batches([batch])
-            t, _, key = bucket(part)
-            last = (t == t[-1]) & (key == key[-1]).all(1)
+            _, _, key = bucket(part)
+            last = (key == key[-1]).all(1)
             cut = len(part) - int(np.argmin(last[::-1])) if not last.all() else 0
             # Rows from cut on belong to the last bucket, which the next batch may continue.
             if held:
                 before = bucket(held[0].slice(0, 1))
-                if t[0] != before[0][0] or (key[0] != before[2][0]).any():
+                if (key[0] != before[2][0]).any():
                     yield done(pa.concat_tables(held))
                     held = []
             if cut:

@@ -272,6 +272,27 @@ def test_skewed_bucket():
     assert all(simhash.distance(far[x], far[y]) <= simhash.MAX_DISTANCE for x, y in zip(*simhash.bucket_pairs(far, np.zeros(600, np.int64), 0)))
 
 
+def test_buckets_beyond_a_task(spark):
+    rng = np.random.default_rng(21)
+    bits = np.tile(rng.integers(0, 2, simhash.BITS).astype(np.uint8), (900, 1))
+    bits ^= (rng.random((900, simhash.BITS)) < 0.12).astype(np.uint8)
+    pairs = bits[:200].copy()
+    for k in range(200):
+        pairs[k, rng.choice(simhash.BITS, 1 + k % 20, replace=False)] ^= 1
+    sig = np.packbits(np.concatenate([bits, pairs]), axis=1, bitorder="little").view(np.int64)
+    reps = spark.createDataFrame([(k, int(h), int(w)) for k, (h, w) in enumerate(sig.tolist())], "id bigint, hi bigint, lo bigint").repartition(3)
+    near = {(a, b) for a in range(len(sig)) for b in np.flatnonzero(simhash.distance(sig.view(np.uint64)[a + 1 :], sig.view(np.uint64)[a]) <= simhash.MAX_DISTANCE) + a + 1}
+    for cap in (1 << 22, 40):
+        least = np.arange(len(sig))
+        links = simhash.links(reps, cap=cap).collect()
+        member, root = simhash.local_links(np.arange(len(sig)), np.array([r.src for r in links]), np.array([r.dst for r in links]))
+        least[member] = root
+        assert len(near) > 200 and np.mean([least[a] == least[b] for a, b in near]) >= 0.95
+    rows = reps.select("id", "hi", "lo", F.lit(0).alias("t"), F.lit("").alias("w"), F.lit(0).cast("bigint").alias("high"), F.lit(0).cast("bigint").alias("low"))
+    left = simhash.spread(rows, simhash.SAMPLE, 200, simhash.MAX_DISTANCE)
+    assert left.groupBy("t", "w", "high", "low").count().agg(F.max("count")).first()[0] <= 200 and left.select("id").distinct().count() == len(sig)
+
+
 # 6
 
 
