@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,23 +195,23 @@ def local_links(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
 
 
 def spread(rows: DataFrame, depth: int, cap: int, limit: int, missed: float = MISSED) -> DataFrame:
-    """Rows (t, w, high, low: a table, a way and the masked halves of a signature; id, hi, lo) whose buckets of more than `cap` are split.
+    """Rows (id, hi, lo, t, w and b: a table, a way and the hash of these and of the sampled bits) whose buckets of more than `cap` are split.
 
     As in bucket_pairs(), such a bucket is split by additional bits in as many ways as ways() tells, again and again; here a row moves to
     the parts that it is in, so that no task gets a bucket of more than `cap` rows.  Buckets of that size are rare: counting them is all
     that it takes if there are none.
     """
-    key = ["t", "w", "high", "low"]
     while depth < BITS:
-        hot = store.written(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > cap), "simhash-hot")
+        hot = store.written(rows.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > cap), "simhash-hot")
         most = hot.agg(F.max("n")).first()[0]
         if most is None:
             return rows
         more = min(BITS - depth, max(1, int(np.ceil(np.log2(2 * most / cap)))))
         n = ways(BITS - depth, more, limit, missed)
         n = int(n) if np.isfinite(n) else 1
+        large = store.written(rows.join(hot.select("b"), "b", "left_semi"), "simhash-large")
         found = []
-        for r in hot.select("t", "w").distinct().collect():  # as many as there are tables and ways
+        for r in large.select("t", "w").distinct().collect():  # as many as there are tables and ways
             used = _used(r["t"], r["w"])
             rest = [x for x in coordinates(r["t"]) if x not in used]
             for k in range(n):
@@ -220,13 +219,18 @@ def spread(rows: DataFrame, depth: int, cap: int, limit: int, missed: float = MI
                 way = f"{r['w']}{'.' if r['w'] else ''}" + "-".join(map(str, sorted(bits.tolist())))
                 found.append((r["t"], r["w"], way, *mask(np.r_[sorted(used), bits].astype(np.int64))))
         masks = F.broadcast(rows.sparkSession.createDataFrame(found, "t int, w string, way string, mhigh bigint, mlow bigint"))
-        split = rows.join(hot.select(*key), key, "left_semi").join(masks, ["t", "w"])
-        split = split.select("id", "hi", "lo", "t", F.col("way").alias("w"), F.col("hi").bitwiseAND(F.col("mhigh")).alias("high"), F.col("lo").bitwiseAND(F.col("mlow")).alias("low"))
-        rows = store.written(rows.join(hot.select(*key), key, "left_anti").select("id", "hi", "lo", *key).unionByName(split), "simhash-spread")
+        split = large.join(masks, ["t", "w"])
+        split = split.select("id", "hi", "lo", "t", F.col("way").alias("w"), bucket_hash(F.col("way"), F.col("hi").bitwiseAND(F.col("mhigh")), F.col("lo").bitwiseAND(F.col("mlow"))).alias("b"))
+        rows = store.written(rows.join(hot.select("b"), "b", "left_anti").select("id", "hi", "lo", "t", "w", "b").unionByName(split), "simhash-spread")
         depth, missed = depth + more, missed / 2
     return rows
 
 
+def bucket_hash(way: Column, high: Column, low: Column) -> Column:
+    """What stands for a bucket of a table (t); two that share a hash are compared with each other, which does no harm."""
+    return F.xxhash64("t", way, high, low)
+
+
 def _used(table: int, way: str) -> set[int]:
     """The bits by which the rows of a way of a table have been told apart."""
     return set(coordinates(table)[:SAMPLE].tolist()) | {int(x) for part in way.split(".") if part for x in part.split("-")}
@@ -237,17 +241,13 @@ def links(reps: DataFrame, tables: int = TABLES, limit: int = MAX_DISTANCE, cap:
     masks = [mask(coordinates(t)[:SAMPLE]) for t in range(tables)]
     high, low = (F.col(c).bitwiseAND(F.get(F.array(*[F.lit(m[k]) for m in masks]), F.col("t"))) for k, c in enumerate(("hi", "lo")))
     rows = reps.select("id", "hi", "lo", F.explode(F.array(*map(F.lit, range(tables)))).alias("t"))
-    rows = spread(rows.select("id", "hi", "lo", "t", F.lit("").alias("w"), high.alias("high"), low.alias("low")), SAMPLE, cap, limit)
-    near = rows.repartition("t", "w", "high", "low").sortWithinPartitions("t", "w", "high", "low", "id")
+    rows = spread(rows.select("id", "hi", "lo", "t", F.lit("").alias("w"), bucket_hash(F.lit(""), high, low).alias("b")), SAMPLE, cap, limit)
+    near = rows.select("id", "hi", "lo", "t", "b").repartition("b").sortWithinPartitions("b", "t", "id")
 
     def bucket(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tables, signatures, and what tells buckets apart: table, way and masked signature."""
-        t = part["t"].to_numpy()
+        """Tables, signatures, and what tells buckets apart."""
         sig = np.stack([part["hi"].to_numpy(), part["lo"].to_numpy()], 1).view(np.uint64)
-        way = pc.binary_length(part["w"]).to_numpy()
-        if way.any():  # few rows have one
-            way = np.array([hash(x) if x else 0 for x in part["w"].to_pylist()], np.int64)
-        return t, sig, np.stack([t.astype(np.int64), way.astype(np.int64), part["high"].to_numpy(), part["low"].to_numpy()], 1)
+        return part["t"].to_numpy(), sig, np.stack([part["t"].to_numpy().astype(np.int64), part["b"].to_numpy()], 1)
 
     def run(batches):  # noqa: ANN001, ANN202
         def done(part: pa.Table) -> pa.RecordBatch:
