@@ -159,9 +159,10 @@ def forward(p: dict[str, np.ndarray], inputs: np.ndarray, first: np.ndarray) ->
 
     The first block given has none before it.
     """
-    x = p["ids"][inputs.ravel()]
+    x = p["ids"].take(inputs.ravel(), 0)
     qkv = (x @ p["wqkv"]).reshape(len(inputs), STEP, 3 * WIDTH)
-    kv = np.zeros((len(inputs), _SPAN, 2 * WIDTH), np.float32)
+    kv = np.empty((len(inputs), _SPAN, 2 * WIDTH), np.float32)
+    kv[:1, :CONTEXT] = 0
     kv[1:, :CONTEXT] = qkv[:-1, :, WIDTH:]
     kv[:, CONTEXT:] = qkv[:, :, WIDTH:]
     q, k, v = qkv[:, :, :WIDTH], kv[:, :, :WIDTH], kv[:, :, WIDTH:]
@@ -169,44 +170,62 @@ def forward(p: dict[str, np.ndarray], inputs: np.ndarray, first: np.ndarray) ->
     a += p["place"] + _CAUSAL
     a[first, :, :CONTEXT] = -1e9
     a[0, :, :CONTEXT] = -1e9
-    np.minimum(a, 60, out=a)
+    _clip(a)
     np.exp(a, out=a)
-    total = a.sum(2, keepdims=True)
+    total = (a.reshape(-1, _SPAN) @ np.ones(_SPAN, a.dtype)).reshape(-1, STEP, 1)
     o = ((a @ v) / total).reshape(-1, WIDTH)
-    y = x + o @ p["wo"]
-    u = y @ p["w1"] + p["b1"]
+    y = o @ p["wo"]
+    y += x
+    u = y @ p["w1"]
+    u += p["b1"]
     np.maximum(u, 0, out=u)
-    z = u @ p["wc"] + p["bc"]
-    np.minimum(z, 60, out=z)
+    z = u @ p["wc"]
+    z += p["bc"]
+    _clip(z)
     return z, x, q, k, v, a, total, o, y, u
 
 
+def _clip(x: np.ndarray) -> None:
+    """Bound logits by 60, so that no sum of exponentials overflows."""
+    if x.max(initial=0) > 60:
+        np.minimum(x, 60, out=x)
+
+
 def backward(p: dict[str, np.ndarray], goal: np.ndarray, kept: tuple[np.ndarray, ...], weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss (weighted, if weights by place are given) over the targets (classes by place, -1 for none); that of ids is by place."""
+    """Gradients of the mean loss (weighted, if weights by place are given) over the targets (classes by place, -1 for none); that of ids is by place.
+
+    It works in the arrays that it is given.
+    """
     z, x, q, k, v, a, total, o, y, u = kept
     n = len(a)
     live = np.flatnonzero(goal >= 0)
     share = (goal >= 0).astype(np.float64) if weight is None else weight * (goal >= 0)
     share = (share / max(1e-9, share.sum())).astype(np.float32)
-    dz = np.exp(z)
-    dz *= (share / dz.sum(1))[:, None]
-    dz[live, goal[live]] -= share[live]
-    g = {"wc": u.T @ dz, "bc": dz.sum(0)}
-    du = (dz @ p["wc"].T) * (u > 0)
-    g |= {"w1": y.T @ du, "b1": du.sum(0)}
+    # The gradient of the logits is e times scale, which goes into narrower arrays instead.
+    e = np.exp(z, out=z)
+    sums = e @ np.ones(e.shape[1], e.dtype)
+    e[live, goal[live]] -= sums[live]
+    scale = share / sums
+    g = {"wc": (u * scale[:, None]).T @ e, "bc": scale @ e}
+    du = e @ p["wc"].T
+    du *= scale[:, None] * (u > 0)
+    g |= {"w1": y.T @ du, "b1": np.ones(len(du), du.dtype) @ du}
     dy = du @ p["w1"].T
     g["wo"] = o.T @ dy
     do = (dy @ p["wo"].T).reshape(n, STEP, WIDTH)
-    a = a / total
+    a /= total
     ds = do @ v.transpose(0, 2, 1)
-    ds -= (do * o.reshape(do.shape)).sum(2, keepdims=True)
+    ds -= np.einsum("bij,bij->bi", do, o.reshape(do.shape))[:, :, None]
     ds *= a
     g["place"] = ds.sum(0)
-    dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], 2)
-    dqkv = np.concatenate([ds @ k, dkv[:, CONTEXT:]], 2)
-    dqkv[:-1, :, WIDTH:] += dkv[1:, :CONTEXT]
+    dqkv = np.empty((n, STEP, 3 * WIDTH), ds.dtype)
+    dqkv[:, :, :WIDTH] = ds @ k
+    for at, d in ((WIDTH, ds.transpose(0, 2, 1) @ q), (2 * WIDTH, a.transpose(0, 2, 1) @ do)):
+        dqkv[:, :, at : at + WIDTH] = d[:, CONTEXT:]
+        dqkv[:-1, :, at : at + WIDTH] += d[1:, :CONTEXT]
     flat = dqkv.reshape(-1, 3 * WIDTH)
-    return g | {"wqkv": x.T @ flat, "ids": flat @ p["wqkv"].T + dy}
+    dy += flat @ p["wqkv"].T
+    return g | {"wqkv": x.T @ flat, "ids": dy}
 
 
 class Trainer:
@@ -429,7 +448,7 @@ def block_log_probs(ids: np.ndarray, off: np.ndarray, model: Model, at_once: int
             want = want[live]
             chosen = z[live, model.kind[want]].astype(np.float64) + model.within[want]
             np.exp(z, out=z)
-            found = chosen - np.log(z.sum(1)[live])
+            found = chosen - np.log((z @ np.ones(z.shape[1], z.dtype))[live])
             log[part] = np.bincount(live // STEP, found, len(goal[part]))
         real = goal[:, 0] >= 0
         h = np.zeros(len(goal), np.uint64)

@@ -2,6 +2,7 @@
 
 import os
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -568,6 +569,26 @@ def test_model():
         assert np.isclose((up - down) / 2e-3, g[name][at], rtol=5e-2, atol=1e-5)
 
 
+def test_training_makes_few_arrays():
+    rng = np.random.default_rng(13)
+    model = lm.fresh(np.ones(500))
+    inputs, goal, _, first = lm.blocks(rng.integers(0, 500, 128 * lm.STEP), np.array([0, 128 * lm.STEP]), 500)
+    want = np.where(goal.ravel() >= 0, model.kind[goal.ravel()], -1)
+    kept = lm.forward(model.p, inputs, first)
+    tracemalloc.start()
+    lm.backward(model.p, want, kept)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * kept[0].nbytes
+
+
+def test_logits_are_bounded():
+    model = lm.fresh(np.ones(50))
+    inputs, _, _, first = lm.blocks(np.arange(40), np.array([0, 40]), 50)
+    model.p["bc"] = np.full_like(model.p["bc"], 1000)
+    assert (lm.forward(model.p, inputs, first)[0] == 60).all()
+
+
 def test_scores(spark, docs, odd, none):
     scored = lm.score(docs).toPandas()
     assert sorted(scored.doc_id) == sorted(r.doc_id for r in docs.select("doc_id").collect())
