@@ -180,8 +180,7 @@ SELECT g.doc_id, coalesce(v.n, 0) > 5 AS v, h > 1 AS h FROM g LEFT JOIN v USING
 
 def search_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields g (greylisting) and h (the raw header) of an indexed mailbox, and the size of bodies (s)."""
-    box = _mailbox(spark, sf_dir).withColumn("head", F.decode(F.substring("raw", 1, 1 << 16), "UTF-8"))
-    rows = mailbox.index(box).join(box.select("path", "fpos", F.split_part("head", F.lit("\n\n"), F.lit(1)).alias("head")), ["path", "fpos"])
+    rows = mailbox.index(_mailbox(spark, sf_dir), head=True)
     grey = F.col("headers")["x-grey-ng"]
     fields = {"g": lookup.grey_label(grey, F.lit(None).cast("string"), F.lit(""), F.lit("")), "h": F.col("head")}
     found = search.predicate("g:1.e", fields, {}) | search.predicate("h:| b 77", fields, {})

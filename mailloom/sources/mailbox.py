@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mailloom.functions import mail
 from mailloom.functions import text as T
+from mailloom.functions.arrow import lists
 from mailloom.session import in_order
 
 
@@ -125,29 +126,32 @@ def read_messages(rows: DataFrame) -> DataFrame:
 KEPT = ("from", "subject", "x-deepspam", "x-grey-ng")
 
 
-def index(mails: DataFrame, keep: tuple[str, ...] = KEPT) -> DataFrame:
+def index(mails: DataFrame, keep: tuple[str, ...] = KEPT, head: bool = False) -> DataFrame:
     """Metadata of each message: path, fpos, size, hsize (bytes to the header's end), from_line, headers (a map of those to keep, by name;
-    of several of one name the last), addr, name, subject and has_attach.  Only headers are parsed."""
+    of several of one name the last), addr, name, subject and has_attach; and the header itself as it stands, however long (head), if it is
+    asked for.  Only headers are parsed."""
+    fields = [("path", pa.string()), ("fpos", pa.int64()), ("size", pa.int64()), ("hsize", pa.int64()), ("from_line", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("addr", pa.string()), ("name", pa.string()), ("subject", pa.string()), ("has_attach", pa.bool_()), *([("head", pa.string())] if head else [])]
+
+    def one(raw: bytes) -> tuple:
+        gap = re.search(rb"\r?\n\r?\n", raw)
+        hsize = gap.end() if gap else len(raw)
+        first, _, rest = raw[:hsize].partition(b"\n")
+        if not first.startswith(b"From "):
+            first, rest = b"", raw[:hsize]
+        found = {k: v.lstrip().decode("utf-8", "mailloom-mixed") for k, v in mail._headers(rest) if k in keep}
+        addr, name = mail.decode_address(found.get("from", ""))
+        subject = mail.decode_header(found["subject"]) if "subject" in found else None
+        whole = [raw[: gap.start() if gap else len(raw)].decode("utf-8", "mailloom-mixed")] if head else []
+        return (len(raw), hsize, first.rstrip(b"\r").decode("ascii", "ignore") or None, list(found.items()), addr, name, subject, raw.find(b"\nContent-Disposition: attachment", hsize - 1) >= 0, *whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for raw in batch.column(2).to_pylist():
-                gap = re.search(rb"\r?\n\r?\n", raw)
-                hsize = gap.end() if gap else len(raw)
-                first, _, rest = raw[:hsize].partition(b"\n")
-                if not first.startswith(b"From "):
-                    first, rest = b"", raw[:hsize]
-                found = {k: v.lstrip().decode("utf-8", "mailloom-mixed") for k, v in mail._headers(rest) if k in keep}
-                addr, name = mail.decode_address(found.get("from", ""))
-                subject = mail.decode_header(found["subject"]) if "subject" in found else None
-                rows.append((len(raw), hsize, first.rstrip(b"\r").decode("ascii", "ignore") or None, list(found.items()), addr, name, subject, b"\nContent-Disposition: attachment" in raw[hsize - 1 :]))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string(), pa.bool_())
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 8, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["path", "fpos", "size", "hsize", "from_line", "headers", "addr", "name", "subject", "has_attach"])
+            for values in lists(*batch.columns):
+                rows = [(path, at, *one(raw)) for path, at, raw in zip(*values)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
     kinds = "path string, fpos bigint, size bigint, hsize bigint, from_line string, headers map<string, string>, addr string, name string, subject string, has_attach boolean"
-    return mails.select("path", "fpos", "raw").mapInArrow(run, kinds)
+    return mails.select("path", "fpos", "raw").mapInArrow(run, kinds + ", head string" * head)
 
 
 def parts(mails: DataFrame, id_col: str, raw_col: str = "raw") -> DataFrame:
