@@ -18,7 +18,7 @@ _COMPARE = {"<": "__lt__", "<=": "__le__", "=": "__eq__", ">=": "__ge__", ">": "
 def numbers(text: Column) -> dict[str, Column]:
     """The quantities of a text by the letters that name them."""
     line = F.coalesce(text, F.lit(""))
-    return {"w": F.regexp_count(line, F.lit(T.NOT_WS)).cast("bigint"), "l": T.count_of(line, T.LATIN), "L": T.count_of(line, T.BEYOND_TEXT), "j": T.count_of(line, T.CJK)}
+    return {"w": T.blank_count(line), "l": T.count_of(line, T.LATIN), "L": T.count_of(line, T.BEYOND_TEXT), "j": T.count_of(line, T.CJK)}
 
 
 def vocabulary_count(text: Column, words: list[str]) -> Column:

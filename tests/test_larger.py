@@ -1,8 +1,15 @@
 """Cases that larger tables have: what a query holds, writes or repeats must not grow with them."""
 
+import random
+import re
+import time
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from mailloom.functions import text as T
+from mailloom.functions import tokens
+from mailloom.operators import dedup, search
 from mailloom.plans import messages
 from mailloom.sources import mailbox
 
@@ -19,3 +26,36 @@ def test_headers_of_long_messages(spark, tmp_path):
     (tmp_path / "box").write_bytes(b"From a\nX-Long: " + "ő".encode() * 50_000 + b"\nX-Last: here\xff\n\nbody\n")
     found = mailbox.index(mailbox.mailbox(spark, str(tmp_path / "box")), head=True).first()
     assert found.head == "From a\nX-Long: " + "ő" * 50_000 + "\nX-Last: here" + b"\xff".decode("utf-8", "mailloom-mixed") and found.hsize == 100_031
+
+
+def test_counts_of_characters(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aZéő \t  中　\U0001f600​\x00\x07Ж,1") for _ in range(rng.randrange(40))) for _ in range(300)] + ["", " ", "　x", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    n = search.numbers(F.col("t"))
+    plan = rows.select(*n.values(), T.display_width(F.col("t")))
+    # Counting by lists of all matches made an object of each character.
+    assert "regexp_count" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    for r in rows.select("k", n["w"].alias("w"), n["l"].alias("l"), n["L"].alias("b"), n["j"].alias("j"), T.display_width(F.col("t")).alias("d")).collect():
+        t = texts[r.k] or ""
+        assert (r.w, r.l, r.j) == (len(t.split()), len(re.findall(T.LATIN, t)), sum("一" <= c <= "鿿" for c in t))
+        assert r.b == sum(c > "ſ" and not c.isspace() for c in t)
+        assert r.d == (None if texts[r.k] is None else sum(map(tokens.char_width, t)))
+
+
+def test_scrubbing_long_runs(spark):
+    # Without a guard, each letter of a run began a search over the rest of it.
+    texts = ["a" * 300_000, "x@y.com_b@c.hu1 ab.hu a@b", "http : //a b", "", None]
+    began = time.time()
+    found = [r.s for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(T.scrub(F.col("t")).alias("s")).collect()]
+    assert found == ["a" * 300_000, "<EMAIL><EMAIL>1 <DOMAIN> a@b", "<URL> b", "", None] and time.time() - began < 60
+
+
+def test_first_words(spark):
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (0, 1, 9, 10, 11, 12, 99, 100, 101, 300)] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select(F.col("t"), dedup.console_key(5, F.col("t")).alias("a"), dedup.console_key(6, F.col("t")).alias("b"))
+    for r in found.collect():
+        w = (r.t or "").split()
+        assert (r.a, r.b) == (" ".join(w[:100]), " ".join(w[10:100]))
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
