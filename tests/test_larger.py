@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -59,3 +60,18 @@ def test_first_words(spark):
         w = (r.t or "").split()
         assert (r.a, r.b) == (" ".join(w[:100]), " ".join(w[10:100]))
     assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_similar_texts_move_little(spark):
+    rng = random.Random(2)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(5, 80))] for _ in range(40)]
+    texts = [" ".join(rng.choice(base) if k < 20 else [w if rng.random() > 0.02 else "x" + w for w in rng.choice(base)]) for k in range(110)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    split = [tokens.split_lossless(t) for t in texts]
+    first = [k for k, t in enumerate(texts) if texts.index(t) == k]
+    want = {(a, b): r for a in first for b in first if a < b and (r := SequenceMatcher(None, split[a], split[b]).ratio()) >= 0.95}
+    assert len(want) > 20 and {(r.a, r.b): r.ratio for r in dedup.similar_pairs(rows).collect()} == want
+    # Only rare tokens that occur in several lines meet, as numbers.
+    lines = rows.where(F.col("doc_id").isin(first)).select(F.col("doc_id").alias("idx"), F.col("text").alias("line"))
+    rare = dedup._rare(lines, 0.95)
+    assert dict(rare.dtypes) == {"idx": "bigint", "n": "int", "place": "int", "key": "bigint"} and rare.count() < 0.15 * sum(len(split[k]) for k in first)
