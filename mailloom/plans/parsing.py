@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mailloom.functions import text as T
 from mailloom.functions import tokens
+from mailloom.functions.arrow import in_pieces
 from mailloom.functions.html import declared_charset, html_text
 from mailloom.functions.mail import decode_header
 from mailloom.functions.payload import payload_text
@@ -23,12 +24,7 @@ CHARACTERS = {chr(c): chr(c) for c in range(32, 0x250)} | {"’": "'", "“": '"
 
 def each(function, text: Column, kind: str = "string", arrow: pa.DataType = pa.string()) -> Column:  # noqa: ANN001, B008
     """A function of one value over a column; null for null."""
-
-    @F.arrow_udf(kind)
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else function(x) for x in column.to_pylist()], arrow)
-
-    return run(text)
+    return in_pieces(lambda values: [None if x is None else function(x) for x in values], kind, arrow, text)
 
 
 def html_column(html: Column) -> Column:

@@ -5,9 +5,11 @@ import re
 import time
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from mailloom.functions import arrow
 from mailloom.functions import text as T
 from mailloom.functions import tokens
 from mailloom.operators import dedup, search
@@ -75,3 +77,41 @@ def test_similar_texts_move_little(spark):
     lines = rows.where(F.col("doc_id").isin(first)).select(F.col("doc_id").alias("idx"), F.col("text").alias("line"))
     rare = dedup._rare(lines, 0.95)
     assert dict(rare.dtypes) == {"idx": "bigint", "n": "int", "place": "int", "key": "bigint"} and rare.count() < 0.15 * sum(len(split[k]) for k in first)
+
+
+def test_pieces_of_columns(spark):
+    texts = pa.array(["x" * (100_000 + k) if k % 7 else None for k in range(64)])
+    assert max(sum(len(t or "") for t in texts[a:b].to_pylist()) for a, b in arrow.spans(texts)) < 1.2 * arrow.PIECE
+    assert [t for (part,) in arrow.lists(texts) for t in part] == texts.to_pylist()
+    ids = [[1, 2], None, [], [3] * 300_000, [4]] * 3
+    column = arrow.number_lists(ids)
+    assert column.type == pa.list_(pa.int32()) and [x for (part,) in arrow.lists(column.slice(1, 13)) for x in part] == ids[1:14]
+    held = []
+    function = lambda a, b: held.append(sum(map(len, a))) or [f"{len(a)} {x[:1]}{y}" for x, y in zip(a, b)]
+    rows = spark.createDataFrame([("y" * 200_000, k) for k in range(40)], "t string, k bigint").coalesce(1)
+    found = rows.select("k", arrow.in_pieces(function, "string", pa.string(), F.col("t"), F.col("k")).alias("s")).collect()
+    # A batch of 8 MB came in one piece before.
+    assert all(r.s.endswith(f" y{r.k}") and int(r.s.split()[0]) <= 6 for r in found) and len(found) == 40
+
+
+def test_mailbox_read_in_steps(spark, tmp_path, monkeypatch):
+    data = b"".join(b"From a\nSubject: %d\n\n" % k + b"text\n" * (k * 37 % 3000) for k in range(300))
+    (tmp_path / "box").write_bytes(data)
+    asked = []
+    real = mailbox.message_starts
+    monkeypatch.setattr(mailbox, "STEP", 10_000)
+    monkeypatch.setattr(mailbox, "PIECE", 20_000)
+
+    class File:
+        def read_at(self, n, at):
+            asked.append(n)
+            return data[at : at + n]
+
+    whole, got = len(data), []
+    for at in range(0, whole, mailbox.STEP):
+        found, held, low = real(File(), at, min(whole, at + mailbox.STEP), whole)
+        got += [held[a - low : b - low] for a, b in zip(found, found[1:]) if a < at + mailbox.STEP]
+    assert b"".join(got) == data and len(got) == 300 and max(asked) < 1 << 17
+    rows = mailbox.mailbox(spark, str(tmp_path / "box"))
+    back = mailbox.read_messages(mailbox.index(rows).select("path", "fpos", "size", "subject")).collect()
+    assert b"".join(r.raw for r in sorted(back, key=lambda r: r.fpos)) == data and len(back) == 300
