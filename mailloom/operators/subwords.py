@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.functions.arrow import in_pieces, number_lists
+
 _loaded: dict[str, object] = {}
 
 
@@ -21,35 +23,26 @@ def processor(path: str):  # noqa: ANN201
 def piece_ids(text: Column, path: str) -> Column:
     """Ids (array of int) of a text by a SentencePiece model; null for a null text."""
 
-    @F.arrow_udf("array<int>")
-    def run(column: pa.Array) -> pa.Array:
-        texts = column.to_pylist()
-        coded = processor(path).encode([t or "" for t in texts])
-        return pa.array([None if t is None else ids for t, ids in zip(texts, coded)], pa.list_(pa.int32()))
+    def run(texts: list[str | None]) -> pa.Array:
+        coded = processor(path).encode([t or "" for t in texts], num_threads=1)
+        return number_lists([None if t is None else ids for t, ids in zip(texts, coded)])
 
-    return run(text)
+    return in_pieces(run, "array<int>", pa.list_(pa.int32()), text)
 
 
 def pieces(text: Column, path: str) -> Column:
     """The pieces themselves (array of string)."""
 
-    @F.arrow_udf("array<string>")
-    def run(column: pa.Array) -> pa.Array:
-        texts = column.to_pylist()
-        coded = processor(path).encode([t or "" for t in texts], out_type=str)
-        return pa.array([None if t is None else p for t, p in zip(texts, coded)], pa.list_(pa.string()))
+    def run(texts: list[str | None]) -> list[list[str] | None]:
+        coded = processor(path).encode([t or "" for t in texts], out_type=str, num_threads=1)
+        return [None if t is None else p for t, p in zip(texts, coded)]
 
-    return run(text)
+    return in_pieces(run, "array<string>", pa.list_(pa.string()), text)
 
 
 def piece_text(ids: Column, path: str) -> Column:
     """The text of ids."""
-
-    @F.arrow_udf("string")
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else processor(path).decode(x) for x in column.to_pylist()], pa.string())
-
-    return run(ids)
+    return in_pieces(lambda rows: [None if x is None else processor(path).decode(x) for x in rows], "string", pa.string(), ids)
 
 
 def id_lines(texts: DataFrame, text: Column, path: str) -> DataFrame:
