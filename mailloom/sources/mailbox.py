@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 
 from mailloom.functions import mail
 from mailloom.functions import text as T
-from mailloom.functions.arrow import lists
+from mailloom.functions.arrow import PIECE, in_pieces, lists
 from mailloom.session import in_order
 
 
 #: Bytes of a file that one task looks for messages in, and that are read at once.
 SPLIT, STEP = 64 << 20, 8 << 20
-#: Rows of messages in a batch hold about this many bytes.
-BATCH = 16 << 20
 
 _EVENT = re.compile(rb"\n(?=From |\r*\n)")
 _EVENT_BLANK = re.compile(rb"\n(?=From |[ \t\r\x0b\x0c]*\n)")
@@ -85,16 +83,11 @@ def mailbox(spark: SparkSession, path: str, blank: bool = False, split: int = SP
             for uri, end, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
                 system, name = FileSystem.from_uri(uri)
                 with system.open_input_file(name) as file:
-                    found, data, low = message_starts(file, start, stop, end, blank)
-                rows, size = [], 0
-                for a, b in zip(found, found[1:]):
-                    if a < stop:
-                        rows.append((uri, a, b - a, data[a - low : b - low]))
-                        size += b - a
-                        if size >= BATCH:
-                            yield _batch(rows)
-                            rows, size = [], 0
-                yield _batch(rows)
+                    for at in range(start, stop, STEP):  # a part is read a step at a time, each like a part of its own
+                        upto = min(stop, at + STEP)
+                        found, data, low = message_starts(file, at, upto, end, blank)
+                        yield _batch([(uri, a, b - a, data[a - low : b - low]) for a, b in zip(found, found[1:]) if a < upto])
+                        del found, data
 
     def _batch(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
         columns = list(zip(*rows)) if rows else [()] * 4
@@ -111,13 +104,17 @@ def read_messages(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, opened = None, None
         for batch in batches:
-            raw = []
-            for uri, at, size in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "fpos", "size"))):
+            place = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "fpos", "size")]
+            raw, done, held = [], 0, 0
+            for k, (uri, at, size) in enumerate(zip(*place)):
                 if uri != opened:
                     system, name = FileSystem.from_uri(uri)
                     file, opened = system.open_input_file(name), uri
                 raw.append(file.read_at(size, at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*names, "raw"])
+                held += size
+                if held >= PIECE or k + 1 == len(batch):  # what messages take isn't known from their rows
+                    yield pa.RecordBatch.from_arrays([*(c.slice(done, len(raw)) for c in batch.columns), pa.array(raw, pa.binary())], [*names, "raw"])
+                    raw, done, held = [], k + 1, 0
 
     return rows.sortWithinPartitions("path", "fpos").mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, raw binary")
 
@@ -159,9 +156,10 @@ def parts(mails: DataFrame, id_col: str, raw_col: str = "raw") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, list(at), p.kind, p.charset, p.encoding, p.disposition, p.name, p.start, p.end, p.payload) for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if raw is not None for at, p in mail.leaves(mail.parse(raw))]
-            kinds = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 10, kinds)], ["idx", "place", "kind", "charset", "encoding", "disposition", "name", "begin", "stop", "payload"])
+            for values in lists(*batch.columns):
+                rows = [(i, list(at), p.kind, p.charset, p.encoding, p.disposition, p.name, p.start, p.end, p.payload) for i, raw in zip(*values) if raw is not None for at, p in mail.leaves(mail.parse(raw))]
+                kinds = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 10, kinds)], ["idx", "place", "kind", "charset", "encoding", "disposition", "name", "begin", "stop", "payload"])
 
     kinds = "idx bigint, place array<int>, kind string, charset string, encoding string, disposition string, name string, begin bigint, stop bigint, payload binary"
     return mails.select(F.col(id_col).cast("bigint"), F.col(raw_col)).mapInArrow(run, kinds)
@@ -170,12 +168,12 @@ def parts(mails: DataFrame, id_col: str, raw_col: str = "raw") -> DataFrame:
 def best_texts(mails: DataFrame, id_col: str, raw_col: str = "raw") -> DataFrame:
     """idx, subject and text of each message; null for a null one."""
 
-    @F.arrow_udf("struct<subject: string, text: string>")
-    def run(column: pa.Array) -> pa.Array:
-        found = [None if raw is None else dict(zip(("subject", "text"), mail.best_text(mail.parse(raw)))) for raw in column.to_pylist()]
-        return pa.array(found, pa.struct([("subject", pa.string()), ("text", pa.string())]))
+    def run(mails: list[bytes | None]) -> list[dict[str, str | None] | None]:
+        return [None if raw is None else dict(zip(("subject", "text"), mail.best_text(mail.parse(raw)))) for raw in mails]
 
-    return mails.select(F.col(id_col).alias("idx"), run(F.col(raw_col)).alias("f")).select("idx", "f.subject", "f.text")
+    kind = pa.struct([("subject", pa.string()), ("text", pa.string())])
+    found = in_pieces(run, "struct<subject: string, text: string>", kind, F.col(raw_col))
+    return mails.select(F.col(id_col).alias("idx"), found.alias("f")).select("idx", "f.subject", "f.text")
 
 
 def previews(mails: DataFrame, id_col: str, raw_col: str = "raw") -> DataFrame:

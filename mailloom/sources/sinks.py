@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.functions import text as T
+from mailloom.functions.arrow import lists
 from mailloom.operators import search
 
 _WRITTEN = "route string, file string, messages bigint, bytes bigint"
@@ -34,7 +35,7 @@ def write_mailbox(mails: DataFrame, folder: str, order: list[str], raw: str = "r
         files: dict[str, list] = {}
         system, root = FileSystem.from_uri(place)
         for batch in batches:
-            for to, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for to, body in (row for values in lists(*batch.columns) for row in zip(*values)):
                 if to not in files:
                     inner = f"{root}/{to}" if to else root
                     system.create_dir(inner, recursive=True)
