@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.functions.arrow import in_pieces
 from mailloom.functions.tokens import split_lossless
 
 #: Ranges are found by the blocks of this many addresses that they touch.
@@ -66,11 +67,10 @@ def differences(before: Column, after: Column) -> Column:
             out += [{"op": o, "text": t} for o, t in (("delete", "".join(x[i:j])), ("insert", "".join(y[k:m]))) if t]
         return out
 
-    @F.arrow_udf("array<struct<op: string, text: string>>")
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], kind)
+    def run(a: list[str | None], b: list[str | None]) -> list[list[dict[str, str]] | None]:
+        return [None if x is None or y is None else one(x, y) for x, y in zip(a, b)]
 
-    return run(before, after)
+    return in_pieces(run, "array<struct<op: string, text: string>>", kind, before, after)
 
 
 def mixed_lines(parts: list[DataFrame], share: float, least: int = 200, most: int = 10_000, text_col: str = "value", seed: int = 0) -> DataFrame:

@@ -269,7 +269,7 @@ ACCOUNT_SQL = "SELECT conv_id AS conn_id, count(*) + 4 AS frames, 'LN' || repeat
 
 def stream_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = dedup.vocabulary(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    mails = _docs(spark, sf_dir).select("doc_id", "text").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    mails = _docs(spark, sf_dir).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     stream = sessions.stream_folder(mails, "stream-mails")
     return sessions.routed(stream, lambda batch: dedup.route_keys(batch, words), shared_path(spark, "stream-routes"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mailloom.functions.arrow import lists
 from mailloom.session import shared_path, written
 
 #: Commands: a header (name, 0, value), the end of headers, a part of the body, the end of the body, abort, quit.
@@ -82,19 +83,20 @@ def decoded(captures: DataFrame, id_col: str = "conn_id", raw_col: str = "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for conn, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at, seq = 0, 0
-                while raw is not None and at + 5 <= len(raw):
-                    size = int.from_bytes(raw[at : at + 4], "big")
-                    if not size or at + 4 + size > len(raw):
-                        break
-                    rows.append((conn, seq, raw[at + 4 : at + 5].decode("latin-1"), raw[at + 5 : at + 4 + size]))
-                    at, seq = at + 4 + size, seq + 1
-                    if rows[-1][2] == QUIT:
-                        break
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds)], ["conn_id", "seq", "cmd", "payload"])
+            for values in lists(*batch.columns):
+                rows = []
+                for conn, raw in zip(*values):
+                    at, seq = 0, 0
+                    while raw is not None and at + 5 <= len(raw):
+                        size = int.from_bytes(raw[at : at + 4], "big")
+                        if not size or at + 4 + size > len(raw):
+                            break
+                        rows.append((conn, seq, raw[at + 4 : at + 5].decode("latin-1"), raw[at + 5 : at + 4 + size]))
+                        at, seq = at + 4 + size, seq + 1
+                        if rows[-1][2] == QUIT:
+                            break
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds)], ["conn_id", "seq", "cmd", "payload"])
 
     return captures.select(F.col(id_col).cast("bigint"), F.col(raw_col)).mapInArrow(run, "conn_id bigint, seq bigint, cmd string, payload binary")
 

@@ -15,6 +15,7 @@ from mailloom.functions import tokens
 from mailloom.operators import dedup, search
 from mailloom.plans import messages
 from mailloom.sources import mailbox
+from mailloom.streaming import sessions
 
 
 def documents(spark, folder, texts):
@@ -115,3 +116,23 @@ def test_mailbox_read_in_steps(spark, tmp_path, monkeypatch):
     rows = mailbox.mailbox(spark, str(tmp_path / "box"))
     back = mailbox.read_messages(mailbox.index(rows).select("path", "fpos", "size", "subject")).collect()
     assert b"".join(r.raw for r in sorted(back, key=lambda r: r.fpos)) == data and len(back) == 300
+
+
+def test_streamed_mails_in_many_files(spark, tmp_path):
+    rows = [(k, f"text {k} " + "words of it " * (k % 40), "en", "web", 10) for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "text words of it")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = []
+    real = sessions.stream_folder
+    try:
+        sessions.stream_folder = lambda df, name: seen.append(df.rdd.getNumPartitions()) or real(df, name)
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = __spark_entry__.queries()["stream_routes"](spark, str(tmp_path))
+        want = dedup.routes(table, dedup.vocabulary(spark.read.parquet(f"{tmp_path}/benchmark.parquet")))
+        assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.collect()} and seen == [9]  # three tasks held all mails before
+    finally:
+        sessions.stream_folder = real
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
