@@ -6,9 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.session import shared_path
+
 LENGTH, KERNELS, FILTERS, HIDDEN = 256, (2, 3, 4, 5), 128, 32
 
 
@@ -72,45 +76,67 @@ def scorer(weights: dict[str, np.ndarray], tokenize: Callable[[Column], Column],
     return lambda rows, id_col, text_col: scores(rows.select(id_col, tokenize(F.col(text_col)).alias("_ids")), weights, id_col, "_ids", length)
 
 
-#: Rows of a block of queries or of vectors, about.
-BLOCK = 4096
+#: Queries of a task, about, and vectors that they meet at once.
+BLOCK, AT_ONCE = 16_384, 4096
+
+
+def _unit(vectors: pa.Array, count: int) -> np.ndarray:
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(count, -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _best(rows: np.ndarray, r: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k least of each row by r and id, in order."""
+    order = np.lexsort((ids, r, rows))
+    rows = rows[order]
+    few = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[few], *(x[order[few]] for x in (r, ids, c))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query, rank, vec_id and cosine: the k most similar other vectors of each query (ties by id), exactly.
 
-    Each block of queries meets each block of vectors in a task; null vectors don't count.
+    The vectors are written once to the shared folder; each task holds a block of queries and what is nearest so far, and reads all vectors
+    past them.  So queries move once and vectors never, however many there are; null vectors don't count.
     """
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    sides = [x.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("vec is not null") for x in (queries, vectors)]
-    counts = [max(1, -(-x.count() // block)) for x in sides]
-    both = []
-    for side, (own, other) in enumerate((("a", "b"), ("b", "a"))):
-        at = F.pmod(F.xxhash64("id"), F.lit(counts[side])).cast("int").alias(own)
-        met = F.explode(F.sequence(F.lit(0), F.lit(counts[1 - side] - 1))).alias(other)
-        both.append(sides[side].select(F.lit(side).alias("side"), "id", "vec", at, met).select("a", "b", "side", "id", "vec"))
-
-    def run(table: pa.Table) -> pa.Table:
-        side, ids = table["side"].to_numpy(), table["id"].to_numpy()
-        asked, held = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        if len(asked) and len(held):
-            m = unit(table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
-            for lo in range(0, len(asked), 256):
-                part = asked[lo : lo + 256]
-                c = m[part] @ m[held].T
-                c[ids[part][:, None] == ids[held][None, :]] = -np.inf
-                r = -np.round(c, 9)
-                last = np.partition(r, min(k, len(held)) - 1, axis=1)[:, min(k, len(held)) - 1]
-                x, y = np.nonzero((r <= last[:, None]) & np.isfinite(r))
-                order = np.lexsort((ids[held][y], r[x, y], x))
-                x, y = x[order], y[order]
-                few = np.arange(len(x)) - np.searchsorted(x, x) < k
-                for kept, values in zip(out, (ids[part][x[few]], ids[held][y[few]], c[x[few], y[few]])):
-                    kept.append(values)
-        return pa.table([pa.array(np.concatenate(x)) for x in out], ["query", "vec_id", "cosine"])
-
-    found = both[0].unionByName(both[1]).groupBy("a", "b").applyInArrow(run, "query bigint, vec_id bigint, cosine double")
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("cosine", 9)).alias("c"), "vec_id", "cosine"))), 1, k)
-    each = found.groupBy("query").agg(top.alias("top")).select("query", F.posexplode("top").alias("rank", "t"))
-    return each.select("query", (F.col("rank") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), F.round("t.cosine", 6).alias("cosine"))
+    spark = vectors.sparkSession
+    place = shared_path(spark, "nearest")
+    held, asked = (x.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).where("vec is not null") for x in (vectors, queries))
+    held.write.parquet(place)
+    count = asked.count()
+    tasks = max(1, -(-count // block), min(spark.sparkContext.defaultParallelism, count // 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [b for b in batches if b.num_rows]
+        if not own:
+            return
+        own = pa.Table.from_batches(own).combine_chunks()
+        names, m = own["id"].to_numpy(), _unit(own["vec"].combine_chunks(), own.num_rows)
+        none = np.zeros(0, np.int64)
+        # Of each group of queries: rows, minus the rounded cosines, ids and cosines of the nearest so far.
+        found = {lo: (none, np.zeros(0), none, np.zeros(0)) for lo in range(0, len(m), 256)}
+        last = np.full(len(m), np.inf)
+        system, root = FileSystem.from_uri(place)
+        for path in sorted(f.path for f in system.get_file_info(FileSelector(root)) if f.path.endswith(".parquet")):
+            with system.open_input_file(path) as file:
+                for part in ParquetFile(file).iter_batches(AT_ONCE, columns=["id", "vec"]):
+                    ids, units = part["id"].to_numpy(), _unit(part["vec"], part.num_rows)
+                    for lo, before in found.items():
+                        c = m[lo : lo + 256] @ units.T
+                        r = -np.round(c, 9)
+                        r[names[lo : lo + 256][:, None] == ids[None, :]] = np.inf
+                        limit = last[lo : lo + 256]
+                        if len(before[0]) < k * len(c) and len(ids) > k:
+                            limit = np.fmin(limit, np.partition(r, k - 1, axis=1)[:, k - 1])
+                        x, y = np.nonzero((r <= limit[:, None]) & np.isfinite(r))
+                        if len(x):
+                            best = _best(*map(np.concatenate, zip(before, (x, r[x, y], ids[y], c[x, y]))), k)
+                            found[lo] = best
+                            full = np.flatnonzero(np.bincount(best[0], minlength=len(c)) == k)
+                            last[lo + full] = best[1][np.searchsorted(best[0], full, "right") - 1]
+        for lo, (x, _, ids, c) in found.items():
+            rank = np.arange(len(x)) - np.searchsorted(x, x) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (names[lo + x], rank.astype(np.int32), ids, c)], ["query", "rank", "vec_id", "cosine"])
+
+    near = asked.repartition(tasks, "id").mapInArrow(run, "query bigint, rank int, vec_id bigint, cosine double")
+    return near.withColumn("cosine", F.round("cosine", 6))

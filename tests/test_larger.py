@@ -5,6 +5,7 @@ import re
 import time
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ import __spark_entry__
 from mailloom.functions import arrow
 from mailloom.functions import text as T
 from mailloom.functions import tokens
-from mailloom.operators import dedup, search
+from mailloom.operators import dedup, model, search
 from mailloom.plans import messages
 from mailloom.sources import mailbox
 from mailloom.streaming import sessions
@@ -136,3 +137,23 @@ def test_streamed_mails_in_many_files(spark, tmp_path):
         sessions.stream_folder = real
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_vectors_are_not_shuffled_against_each_other(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.integers(-3, 4, 5).astype(float).tolist()) for k in range(900)] + [(900, None), (901, [0.0] * 5), (902, [float("nan")] * 5)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    near = model.nearest(table, table.where("vec_id % 20 = 0"), k=4, block=10)
+    plan = near._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "FlatMapGroups" not in plan  # each vector was repeated for each block of queries before
+    v = np.array([x for _, x in rows[:900]] + [[0.0] * 5])
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    ids = np.r_[np.arange(900), 901]
+    got = {}
+    for r in near.collect():
+        got.setdefault(r.query, []).append((r["rank"], r.vec_id))
+    for q in range(0, 900, 20):
+        c = -np.round(v @ v[q], 9)
+        want = [int(ids[j]) for j in np.lexsort((ids, c)) if ids[j] != q][:4]
+        assert [i for _, i in sorted(got[q])] == want
+    assert set(got) == set(range(0, 900, 20))
