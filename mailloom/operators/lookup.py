@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.functions.arrow import in_pieces
+from mailloom.functions.blocks import blocks
 from mailloom.functions.tokens import split_lossless
 
 #: Ranges are found by the blocks of this many addresses that they touch.
@@ -59,12 +58,12 @@ def differences(before: Column, after: Column) -> Column:
 
     def one(a: str, b: str) -> list[dict[str, str]]:
         x, y = split_lossless(a), split_lossless(b)
-        out = []
-        for op, i, j, k, m in SequenceMatcher(None, x, y).get_opcodes():
-            if op == "equal":
-                out.append({"op": op, "text": "".join(x[i:j])})
-                continue
-            out += [{"op": o, "text": t} for o, t in (("delete", "".join(x[i:j])), ("insert", "".join(y[k:m]))) if t]
+        out, i, k = [], 0, 0
+        for p, q, size in blocks(x, y):
+            out += [{"op": o, "text": t} for o, t in (("delete", "".join(x[i:p])), ("insert", "".join(y[k:q]))) if t]
+            i, k = p + size, q + size
+            if size:
+                out.append({"op": "equal", "text": "".join(x[p:i])})
         return out
 
     def run(a: list[str | None], b: list[str | None]) -> list[list[dict[str, str]] | None]:

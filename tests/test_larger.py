@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from mailloom.functions import arrow
+from mailloom.functions import arrow, blocks
 from mailloom.functions import text as T
 from mailloom.functions import tokens
 from mailloom.operators import dedup, model, search
@@ -157,3 +157,18 @@ def test_vectors_are_not_shuffled_against_each_other(spark):
         want = [int(ids[j]) for j in np.lexsort((ids, c)) if ids[j] != q][:4]
         assert [i for _, i in sorted(got[q])] == want
     assert set(got) == set(range(0, 900, 20))
+
+
+def test_blocks_as_difflib_finds_them(monkeypatch):
+    rng = random.Random(3)
+    for k in range(400):
+        x = [rng.choice("aab c,d" + "efghij" * (k % 3)) for _ in range(rng.randrange(1 + 3 * k))]
+        y = [c if rng.random() < 0.9 else rng.choice("abcxyz") for c in x if rng.random() < 0.95] if k % 4 else [rng.choice("ab c") for _ in range(k)]
+        assert blocks.blocks(x, y) == [tuple(m) for m in SequenceMatcher(None, x, y).get_matching_blocks()]
+        assert blocks.ratio(x, y) == SequenceMatcher(None, x, y).ratio()
+    words = [f"w{rng.randrange(60)}" + rng.choice(["", "", ",", "."]) for _ in range(1500)]
+    x = tokens.split_lossless(" ".join(words))
+    y = [t + "x" if t == "w7" else t for t in x]
+    assert blocks.blocks(x, y) == [tuple(m) for m in SequenceMatcher(None, x, y).get_matching_blocks()]
+    monkeypatch.setattr(blocks, "MOST", 10)
+    assert blocks.blocks(list("abcabcabcd"), list("bcabcabcabd")) == [tuple(m) for m in SequenceMatcher(None, "abcabcabcd", "bcabcabcabd").get_matching_blocks()]
