@@ -172,3 +172,25 @@ def test_blocks_as_difflib_finds_them(monkeypatch):
     assert blocks.blocks(x, y) == [tuple(m) for m in SequenceMatcher(None, x, y).get_matching_blocks()]
     monkeypatch.setattr(blocks, "MOST", 10)
     assert blocks.blocks(list("abcabcabcd"), list("bcabcabcabd")) == [tuple(m) for m in SequenceMatcher(None, "abcabcabcd", "bcabcabcabd").get_matching_blocks()]
+
+
+def test_only_open_messages_go_on(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(20)]
+    for _ in range(30):  # chains of copies with changes, and words that repeat
+        w = rng.choice(texts[15:]).split()
+        w[rng.randrange(len(w)) :] = [f"v{rng.randrange(9)}" for _ in range(rng.randrange(12))]
+        texts.append(" ".join(w))
+    seen, want = set(), []
+    for t in texts:
+        w = t.split()
+        s = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        want.append(sum(x in seen for x in s) <= 0.6 * len(s))
+        seen |= set(s) if want[-1] else set()
+    went, real = [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: went.append((name, real(df, name))) or went[-1][1])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.idx: r.accepted for r in dedup.shingled(rows, width=3, most=0.6).collect()}
+    assert [found[k] for k in range(len(texts))] == want and not all(want)
+    states = [{r.idx for r in df.select("idx").collect()} for name, df in went if name == "shingle-state"]
+    assert min(states[0]) >= 15 and not states[-1] and all(a > b for a, b in zip(states, states[1:]))
